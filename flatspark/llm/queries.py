@@ -1,8 +1,10 @@
 """Queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
 from .decontamination import op6_decontamination
+from .lm_scoring import op1_lm_scoring
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op6_decontamination": op6_decontamination,
 }
 ORACLES: dict[str, str] = {}
