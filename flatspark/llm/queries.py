@@ -2,9 +2,13 @@
 
 from .decontamination import op6_decontamination
 from .lm_scoring import op1_lm_scoring
+from .media import op8_media
+from .secrets_scan import op5_secrets
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op8_media": op8_media,
 }
 ORACLES: dict[str, str] = {}
