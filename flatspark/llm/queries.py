@@ -3,12 +3,16 @@
 from .decontamination import op6_decontamination
 from .lm_scoring import op1_lm_scoring
 from .media import op8_media
+from .packing import op2_packing
 from .secrets_scan import op5_secrets
+from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_packing": op2_packing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op8_media": op8_media,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
