@@ -1,6 +1,7 @@
 """Queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
 from .decontamination import op6_decontamination
+from .langid import op3_language_id
 from .lm_scoring import op1_lm_scoring
 from .media import op8_media
 from .packing import op2_packing
@@ -10,6 +11,7 @@ from .token_counts import op9_token_counts
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op8_media": op8_media,
