@@ -7,11 +7,13 @@ from .media import op8_media
 from .packing import op2_packing
 from .secrets_scan import op5_secrets
 from .token_counts import op9_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op8_media": op8_media,

@@ -87,9 +87,17 @@ class Words:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(LOWER[data] * up[:n], dtype=np.uint64, out=total[1:])
         length = (self.end - self.start).astype(np.uint64)
+        self.total, self.down = total, down
         self.hash = mix(((total[self.end] - total[self.start]) * down[self.start]) ^ (length * np.uint64(0xD6E8FEB86659FD93)))
 
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index and hash of the first ``size`` bytes of the words that are as long."""
+        at = np.flatnonzero(self.end - self.start >= size)
+        start = self.start[at]
+        return at, mix(((self.total[start + size] - self.total[start]) * self.down[start]) ^ np.uint64(size * 0x9FB21C651E98DF25 & (1 << 64) - 1))
+
+
 class Tokenizer:
     """Makes :class:`Words` with power tables that grow to the longest slice seen."""
 
