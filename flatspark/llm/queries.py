@@ -9,6 +9,7 @@ from .packing import op2_packing
 from .secrets_scan import op5_secrets
 from .token_counts import op9_token_counts
 from .toxicity import op4_toxicity
+from .warc import op10_warc
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {}
