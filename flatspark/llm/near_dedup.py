@@ -10,12 +10,14 @@ signatures agree in a coordinate with a probability of their weighted Jaccard si
 
 Copies of a text are one class from the start. Signatures of distinct texts are joined by ``BANDS`` bands
 of ``ROWS`` coordinates: two texts of similarity 0.8 miss each other in all of them with probability
-3e-6. Within a bucket each text is paired with the least one. Pairs whose sizes or signatures rule out
-0.8 go (the limit lies five deviations below); the others are compared by all their shingles. Links
-give components by large-star and small-star steps. What is not in the component of its bucket's least
-text is then paired with the bucket's texts of other components, so that each pair in a bucket is in
-one component or has been compared. No bucket is gathered, and pairs stay near the number of rows of the
-bands unless a bucket holds many components.
+3e-6. Within a bucket each text is paired with the most central one, that whose buckets hold the most
+texts: the original of edited copies, say. Pairs whose sizes or signatures rule out 0.8 go (the limit
+lies five deviations below); the others are compared by all their shingles. Links give components by
+large-star and small-star steps. Texts outside the largest component of a bucket are then compared
+with all texts of the bucket's other components, so that each pair in a bucket is in one component or
+has been compared. This is done in blocks of about ``BLOCK`` shingles by matrix products: a task holds two
+blocks, and no pair is emitted that is not a link. Its work grows with the texts left over times the
+bucket, which is much only where many texts are close to each other but not similar.
 
 Texts move once, those of texts that share a bucket; keys with very many rows are met in joins whose
 skewed side Spark splits, and counts are summed before they move.
@@ -45,6 +47,10 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 2.5)
 #: Equal coordinates, below which a pair is not compared: 0.8 less five standard deviations.
 AGREE = math.floor(COORDINATES * SIMILAR - 5 * math.sqrt(COORDINATES * SIMILAR * (1 - SIMILAR)))
+#: Shingles of a block, about.
+BLOCK = 200_000
+#: Columns of a matrix product.
+COLUMNS = 2048
 
 
 def cells(words, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +221,71 @@ def similar(pairs: DataFrame, reps: DataFrame, shingles: DataFrame) -> DataFrame
     return pairs.mapInArrow(compared, "a long, b long")
 
 
+def shared(asking: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """(asking, others) numbers of common cells."""
+    out = np.zeros((len(asking), len(others)), dtype=np.float32)
+    known, column = np.unique(np.concatenate([*asking, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(asking) + len(others)), [len(x) for x in [*asking, *others]])
+    column = column[np.argsort(column, kind="stable")], row[np.argsort(column, kind="stable")]
+    often = np.bincount(column[0], minlength=len(known)) > 1
+    place = np.cumsum(often) - 1
+    keep = often[column[0]]
+    column, row = place[column[0][keep]], column[1][keep]
+    for lo in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(asking) + len(others), COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part[: len(asking)] @ part[len(asking) :].T
+    return out
+
+
+def block_links(rows: list[tuple]):
+    """Links between components among (uid, comp, asks, cells); one for each two components."""
+    asking, others = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    if not asking or not others:
+        return []
+    cells_a, cells_b = ([np.frombuffer(r[3], np.uint32) for r in side] for side in (asking, others))
+    size_a, size_b = (np.array([len(c) for c in side], dtype=np.float32) for side in (cells_a, cells_b))
+    same = shared(cells_a, cells_b)
+    like = same >= np.float32(SIMILAR) * (size_a[:, None] + size_b - same) - np.float32(1e-3)
+    found = {}
+    for i, j in np.argwhere(like).tolist():
+        if asking[i][1] != others[j][1]:
+            found.setdefault((asking[i][1], others[j][1]), (asking[i][0], others[j][0]))
+    return list(found.values())
+
+
+def linked(batches):
+    """Rows come by bucket and pair of blocks; gives the links of each pair of blocks."""
+    current, rows = None, []
+    for batch in batches:
+        found = []
+        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "ask_block", "block", "uid", "comp", "asks", "cells"))):
+            if r[:3] != current:
+                found += block_links(rows)
+                current, rows = r[:3], []
+            rows.append(r[3:])
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    found = block_links(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def links_left(placed: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links (a, b) between components of the same bucket (key, uid, weight, comp)."""
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "w")).alias("top"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda w: F.ceil(w / F.lit(BLOCK)).cast("int")
+    main = main.select("key", F.col("top.comp").alias("main"), blocks(F.col("w") - F.col("top.w")).alias("ask_blocks"), blocks(F.col("w")).alias("blocks"))
+    rows = placed.join(main, "key").join(shingles, "uid")
+    place = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["key", "uid", "comp", "cells"]
+    asking = rows.where("comp != main").select(*columns, F.lit(True).alias("asks"), place(F.col("ask_blocks")).alias("ask_block"), every(F.col("blocks")).alias("block"))
+    others = rows.select(*columns, F.lit(False).alias("asks"), place(F.col("blocks")).alias("block"), every(F.col("ask_blocks")).alias("ask_block"))
+    by = ["key", "ask_block", "block"]
+    return asking.unionByName(others).repartition(*by).sortWithinPartitions(*by).mapInArrow(linked, "a long, b long")
+
+
 def near_classes(documents: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size of each document."""
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -224,25 +295,23 @@ def near_classes(documents: DataFrame) -> DataFrame:
     reps = rows.join(first.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
     banded = reps.select("uid", "weight", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("uid", "weight")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least.uid").alias("leader"), F.col("least.weight").alias("leader_weight"))
-    members = checkpoint(banded.join(buckets, "key"))
+    counts = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = checkpoint(banded.join(counts, "key"))
+    central = crowded.join(crowded.groupBy("uid").agg(F.sum("n").alias("near")), "uid")
+    leaders = central.groupBy("key").agg(F.max(F.struct("near", (-F.col("uid")).alias("neg"), "weight")).alias("top")).select("key", (-F.col("top.neg")).alias("leader"), F.col("top.weight").alias("leader_weight"))
+    members = crowded.drop("n").join(leaders, "key")
     near_size = lambda x, y: F.least(x, y) >= SIMILAR * F.greatest(x, y)
 
     # Shingles of the texts that share a bucket; the texts are found by their digest.
-    wanted = reps.select("uid", "tid").join(members.select("uid").distinct(), "uid", "left_semi")
+    wanted = reps.select("uid", "tid").join(crowded.select("uid").distinct(), "uid", "left_semi")
     texts = docs.select("text").mapInArrow(digests, "tid binary, text string").join(wanted, "tid").select("uid", "text")
     shingles = checkpoint(texts.mapInArrow(shingled, "uid long, cells binary").groupBy("uid").agg(F.first("cells").alias("cells")))
 
     stars = members.where((F.col("uid") != F.col("leader")) & near_size(F.col("weight"), F.col("leader_weight"))).select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
     links = checkpoint(similar(stars, reps, shingles))
     parts = components(links)
-    placed = members.join(parts.select(F.col("node").alias("uid"), "comp"), "uid", "left").join(parts.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), "leader", "left")
-    placed = placed.select("key", "uid", "weight", "leader", F.coalesce("comp", "uid").alias("comp"), F.coalesce("leader_comp", "leader").alias("leader_comp"))
-    apart = placed.where("comp != leader_comp").select("key", F.col("uid").alias("x"), F.col("weight").alias("x_weight"), F.col("comp").alias("x_comp"), "leader")
-    others = placed.select("key", F.col("uid").alias("y"), F.col("weight").alias("y_weight"), F.col("comp").alias("y_comp")).join(apart.select("key").distinct(), "key", "left_semi")
-    more = apart.join(others, "key").where((F.col("x_comp") != F.col("y_comp")) & (F.col("y") != F.col("leader")) & near_size(F.col("x_weight"), F.col("y_weight")))
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    parts = components(links.unionByName(similar(more, reps, shingles)))
+    placed = crowded.join(parts.select(F.col("node").alias("uid"), "comp"), "uid", "left").select("key", "uid", "weight", F.coalesce("comp", "uid").alias("comp"))
+    parts = components(links.unionByName(links_left(placed, shingles)))
 
     classed = known.join(parts.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"))
     heads = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
