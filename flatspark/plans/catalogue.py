@@ -63,23 +63,32 @@ ORDER_FIELDS = (field("id", 0, 10), field("type", 10, 15), field("date", 25, 8,
 ORDERS = fixed(*ORDER_FIELDS)
 AR = load_layout(f"{LIBRARY}/jde_ar.yaml")
 
-cents = (F.col("o_totalprice").cast("decimal(38,2)") * 100).cast("bigint").cast("string")
-day = F.date_format("o_orderdate", "yyyyMMdd")
-k = F.col("o_orderkey")
+
+def cents() -> Column:
+    return (F.col("o_totalprice").cast("decimal(38,2)") * 100).cast("bigint").cast("string")
+
+
+def day() -> Column:
+    return F.date_format("o_orderdate", "yyyyMMdd")
+
+
+def k() -> Column:
+    return F.col("o_orderkey")
 
 
 def padded(key: Column, kind: Column, date: Column, amount: Column, width: int = 12) -> Column:
     return F.concat(F.lpad(key.cast("string"), 10, "0"), F.rpad(kind, 15, " "), date, F.lpad(amount, width, " "), F.lit("USD"))
 
 
-def order_records(spark: SparkSession, sf_dir: str, date: Column = day, amount: Column = cents, width: int = 12) -> DataFrame:
+def order_records(spark: SparkSession, sf_dir: str, date: Column | None = None, amount: Column | None = None, width: int = 12) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return from_frame(orders.select(k, codepage.encode(padded(k, F.col("o_orderpriority"), date, amount, width), "cp850").alias("r")), "r", "o_orderkey", "orders")
+    date, amount = (day() if date is None else date), (cents() if amount is None else amount)
+    return from_frame(orders.select(k(), codepage.encode(padded(k(), F.col("o_orderpriority"), date, amount, width), "cp850").alias("r")), "r", "o_orderkey", "orders")
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 97th date has month 13, every 89th record 13 bytes, every 83rd amount a letter."""
-    records = order_records(spark, sf_dir, F.when(k % 97 == 0, F.concat(F.substring(day, 1, 4), F.lit("1301"))).otherwise(day), F.when(k % 83 == 0, F.lit("12X4")).otherwise(cents))
+    records = order_records(spark, sf_dir, F.when(k() % 97 == 0, F.concat(F.substring(day(), 1, 4), F.lit("1301"))).otherwise(day()), F.when(k() % 83 == 0, F.lit("12X4")).otherwise(cents()))
     return records.withColumn("record", F.when(F.col("line") % 89 == 0, F.substring("record", 1, 13)).otherwise(F.col("record")))
 
 
@@ -119,8 +128,8 @@ def record_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS line, 'field ''date'': invalid date ''20XX0101'' (expected YYYYMMDD); field ''amount'': empty decimal' AS error
   FROM orders WHERE o_orderkey % 3 = 0""")
 def cumulative_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = k % 3 == 0
-    records = order_records(spark, sf_dir, F.when(bad, F.lit("20XX0101")).otherwise(day), F.when(bad, F.lit("")).otherwise(cents))
+    bad = k() % 3 == 0
+    records = order_records(spark, sf_dir, F.when(bad, F.lit("20XX0101")).otherwise(day()), F.when(bad, F.lit("")).otherwise(cents()))
     return rejects(validate(records, ORDERS)).drop("source")
 
 
@@ -128,13 +137,13 @@ def cumulative_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN 1 THEN 'field ''date'': invalid date ''00000101'': year 0 is out of range' WHEN 2 THEN 'field ''date'': invalid date '' 2023010'' (expected YYYYMMDD)'
   ELSE 'field ''date'': invalid date ''2023-1-1'' (expected YYYYMMDD)' END AS error FROM orders""")
 def date_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.element_at(F.array(*map(F.lit, ("20230229", "00000101", " 2023010", "2023-1-1"))), (k % 4 + 1).cast("int"))
+    bad = F.element_at(F.array(*map(F.lit, ("20230229", "00000101", " 2023010", "2023-1-1"))), (k() % 4 + 1).cast("int"))
     return rejects(validate(order_records(spark, sf_dir, bad), ORDERS)).drop("source")
 
 
 @query("SELECT lpad(o_orderkey::varchar, 10, '0') AS id, CASE WHEN o_orderkey % 7 = 0 THEN -(o_totalprice::decimal(38,2)) ELSE o_totalprice::decimal(38,2) END AS amount FROM orders")
 def trailing_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = order_records(spark, sf_dir, amount=F.when(k % 7 == 0, F.concat(cents, F.lit("-"))).otherwise(cents))
+    records = order_records(spark, sf_dir, amount=F.when(k() % 7 == 0, F.concat(cents(), F.lit("-"))).otherwise(cents()))
     return values_of(validate(records, ORDERS)).select("id", "amount")
 
 
@@ -142,13 +151,13 @@ def trailing_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN 2 THEN 1000.00::decimal(38,2) ELSE 1.24::decimal(38,2) END AS amount FROM orders""")
 def implied_vs_explicit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.col("o_totalprice").cast("decimal(38,2)").cast("string")
-    amount = F.when(k % 4 == 0, cents).when(k % 4 == 1, point).when(k % 4 == 2, F.lit("1E5")).otherwise(F.lit("1.235"))
+    amount = F.when(k() % 4 == 0, cents()).when(k() % 4 == 1, point).when(k() % 4 == 2, F.lit("1E5")).otherwise(F.lit("1.235"))
     return values_of(validate(order_records(spark, sf_dir, amount=amount), ORDERS)).select("id", "amount")
 
 
 @query("SELECT o_orderkey AS line, 'field ''amount'': more than 2 decimals in ''       1.235''' AS error FROM orders WHERE o_orderkey % 5 = 0")
 def strict_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = order_records(spark, sf_dir, amount=F.when(k % 5 == 0, F.lit("1.235")).otherwise(cents))
+    records = order_records(spark, sf_dir, amount=F.when(k() % 5 == 0, F.lit("1.235")).otherwise(cents()))
     return rejects(validate(records, ORDERS, strict_scale=True)).drop("source")
 
 
@@ -200,8 +209,8 @@ DELIMITED = build_layout({"format": "delimited", "version": 1, "delimiter": "|",
 
 def delimited_records(spark: SparkSession, sf_dir: str, delimiter: str = "|", tail: Column | None = None) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    text = F.concat_ws(delimiter, k.cast("string"), day, F.col("o_totalprice").cast("decimal(38,2)").cast("string"), F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit("\t")))
-    return from_frame(orders.select(k, (text if tail is None else F.concat(text, tail)).alias("r")), "r", "o_orderkey")
+    text = F.concat_ws(delimiter, k().cast("string"), day(), F.col("o_totalprice").cast("decimal(38,2)").cast("string"), F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit("\t")))
+    return from_frame(orders.select(k(), (text if tail is None else F.concat(text, tail)).alias("r")), "r", "o_orderkey")
 
 
 DELIMITED_SQL = """SELECT o_orderkey::varchar AS id, strftime(o_orderdate, '%Y-%m-%d') AS "date", o_totalprice::decimal(38,2) AS amount, o_orderstatus AS status FROM orders"""
@@ -227,14 +236,14 @@ def delimited_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS line, '6 columns in line, schema expects 4' AS error FROM orders WHERE o_orderkey % 6 = 1")
 def delimited_extra_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects(validate(delimited_records(spark, sf_dir, tail=F.when(k % 6 == 1, "|x|").otherwise("")), DELIMITED)).drop("source")
+    return rejects(validate(delimited_records(spark, sf_dir, tail=F.when(k() % 6 == 1, "|x|").otherwise("")), DELIMITED)).drop("source")
 
 
 def files(spark: SparkSession, sf_dir: str, header: bool = False) -> str:
     """Orders in four text files by key, in key order; a blank line before every fifth key; a header on request."""
     path = folder(spark)
-    text = F.concat_ws("|", k.cast("string"), day, F.col("o_totalprice").cast("decimal(38,2)").cast("string"), "o_orderstatus")
-    rows = table(spark, sf_dir, "orders").select((k % 4).alias("f"), k, F.concat(F.when(k % 5 == 0, "\r\n").otherwise(""), text, F.lit("\r")).alias("value"))
+    text = F.concat_ws("|", k().cast("string"), day(), F.col("o_totalprice").cast("decimal(38,2)").cast("string"), "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select((k() % 4).alias("f"), k(), F.concat(F.when(k() % 5 == 0, "\r\n").otherwise(""), text, F.lit("\r")).alias("value"))
     if header:
         first = spark.range(4).select(F.col("id").alias("f"), F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit("\nid|date|amount|status").alias("value"))
         rows = rows.unionByName(first)
@@ -243,7 +252,10 @@ def files(spark: SparkSession, sf_dir: str, header: bool = False) -> str:
 
 
 LINES_SQL = "SELECT o_orderkey, o_orderkey % 4 AS f, sum(CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS line FROM orders"
-file_number = F.regexp_extract("source", r"f=(\d)", 1).cast("bigint").alias("f")
+
+
+def file_number() -> Column:
+    return F.regexp_extract("source", r"f=(\d)", 1).cast("bigint").alias("f")
 
 
 @query(f"SELECT o_orderkey::varchar AS id, f::bigint AS f, line::bigint AS line FROM ({LINES_SQL})")
@@ -255,7 +267,7 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(key, "64k")
         lines = scan_lines(spark, f"{path}/f=*")
         lines.schema  # noqa: B018
-        return validate(lines, DELIMITED).select("value.id", file_number, "line")
+        return validate(lines, DELIMITED).select("value.id", file_number(), "line")
     finally:
         spark.conf.set(key, size)
 
@@ -263,7 +275,7 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT (o_orderkey % 4)::bigint AS f, count(*) AS n, sum(o_totalprice::decimal(38,2)) AS amount FROM orders GROUP BY 1")
 def batch_multi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = validate(scan_lines(spark, f"{files(spark, sf_dir)}/f=*"), DELIMITED).where("ok")
-    return checked.groupBy(file_number).agg(F.count("*").alias("n"), F.sum("value.amount").cast("decimal(38,2)").alias("amount"))
+    return checked.groupBy(file_number()).agg(F.count("*").alias("n"), F.sum("value.amount").cast("decimal(38,2)").alias("amount"))
 
 
 @query(DELIMITED_SQL)
@@ -275,7 +287,7 @@ def delimited_header_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def on_error_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     damaged(spark, sf_dir).select(F.col("record").cast("string").alias("value")).write.text(path)
-    return read_flat(spark, f"{path}/part-*" if "://" not in path else path, ORDERS, on_error="ignore").select("id", "amount")
+    return read_flat(spark, path, ORDERS, on_error="ignore").select("id", "amount")
 
 
 def with_rules(*rules: dict) -> Layout:
@@ -301,8 +313,8 @@ BALANCE = fixed(field("debit", 0, 12, "decimal"), field("credit", 12, 12, "decim
   FROM (SELECT sum(o_totalprice::decimal(38,2)) AS a, sum(o_totalprice::decimal(38,2)) - 1.00 * count(*) FILTER (o_orderkey % 1000 = 0) AS b FROM orders) WHERE a != b""")
 def rule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    credit = F.when(k % 1000 == 0, (cents.cast("bigint") - 100).cast("string")).otherwise(cents)
-    records = from_frame(orders.select(k, F.concat(F.lpad(cents, 12, " "), F.lpad(credit, 12, " ")).alias("r")), "r", "o_orderkey")
+    credit = F.when(k() % 1000 == 0, (cents().cast("bigint") - 100).cast("string")).otherwise(cents())
+    records = from_frame(orders.select(k(), F.concat(F.lpad(cents(), 12, " "), F.lpad(credit, 12, " ")).alias("r")), "r", "o_orderkey")
     return rule_ops.violations_frame(validate(records, BALANCE), BALANCE)
 
 
@@ -374,8 +386,8 @@ def framed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.close()
         yield RecordBatch.from_arrays([array([len(open_files)])], names=["n"])
 
-    amount = F.lpad(cents, 12, " ")
-    rows = table(spark, sf_dir, "orders").select((k % 3).alias("f"), F.encode(F.concat(F.lpad(k.cast("string"), 10, "0"), day, amount), "ISO-8859-1").alias("r"))
+    amount = F.lpad(cents(), 12, " ")
+    rows = table(spark, sf_dir, "orders").select((k() % 3).alias("f"), F.encode(F.concat(F.lpad(k().cast("string"), 10, "0"), day(), amount), "ISO-8859-1").alias("r"))
     rows.repartition(3, "f").mapInArrow(write, "n bigint").count()
     layout = build_layout({"format": "framed", "version": 1, "parser": "length_prefixed_frame", "codepage": "cp1252", "fields": [field("id", 0, 10), field("date", 10, 8, "date"), field("amount", 18, 12, "decimal")]})
     return validate(scan_frames(spark, path), layout).where("ok").select(F.regexp_extract("source", r"(\d)\.frames", 1).cast("bigint").alias("f"), "value.*")
@@ -384,9 +396,9 @@ def framed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey::varchar AS id FROM orders")
 def strip_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    around = F.concat(F.lit("   \t"), k.cast("string"), F.lit("　\x85 "))
+    around = F.concat(F.lit("   \t"), k().cast("string"), F.lit("　\x85 "))
     layout = build_layout({"format": "delimited", "version": 1, "delimiter": ";", "fields": [{"name": "id"}]})
-    return values_of(validate(from_frame(orders.select(k, around.alias("r")), "r", "o_orderkey"), layout))
+    return values_of(validate(from_frame(orders.select(k(), around.alias("r")), "r", "o_orderkey"), layout))
 
 
 @query(

@@ -20,8 +20,8 @@ class InvalidRecords(ValueError):
 
 
 def expand(pattern: str) -> list[str]:
-    """Files of a local pattern, sorted; a plain path as it is."""
-    return sorted(glob.glob(pattern)) if any(c in pattern for c in "*?[") else [pattern]
+    """Files of a local pattern, sorted; a plain path, or a pattern of another file system, as it is."""
+    return (any(c in pattern for c in "*?[") and sorted(glob.glob(pattern))) or [pattern]
 
 
 def scan(spark: SparkSession, path: str | list[str], layout: Layout, plugins_dir: str = PLUGINS, skip_header: bool = True) -> DataFrame:
