@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .textops import text_buffer
+from .textops import slices, text_buffer
 
 HIDDEN = 8
 STEPS = 48
@@ -207,13 +207,21 @@ def document_probabilities(net: Network, data: np.ndarray, offsets: np.ndarray)
 
 
 def judged(net: Network, column) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, slice by slice."""
     data, offsets = text_buffer(column)
-    letters = lettered(data, offsets)
-    if not net.labels:
-        return ["und"] * len(letters), np.where(letters, 0.0, 1.0)
-    prob = document_probabilities(net, data, offsets)
-    best = prob.argmax(axis=1)
-    return [net.labels[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist())], np.where(letters, prob.max(axis=1).clip(0, 1), 1.0)
+    names: list[str] = []
+    scores = [np.zeros(0)]
+    for lo, hi in slices(offsets):
+        part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        letters = lettered(part, own)
+        if not net.labels:
+            names += ["und"] * len(letters)
+            scores.append(np.where(letters, 0.0, 1.0))
+            continue
+        prob = document_probabilities(net, part, own)
+        names += [net.labels[b] if ok else "und" for b, ok in zip(prob.argmax(axis=1).tolist(), letters.tolist())]
+        scores.append(np.where(letters, prob.max(axis=1).clip(0, 1), 1.0))
+    return names, np.concatenate(scores)
 
 
 def predicted(net):
