@@ -1,5 +1,8 @@
 """Small helpers shared by the operators."""
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -8,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that a Python worker gets, about; a longer row comes alone.
+BATCH = 8 << 20
 #: Row keys: task in the high bits, row of the task in the low 33.
 ROW_BITS = 33
 
@@ -34,6 +39,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(run):
+    """The same function of batches; its worker, which Spark keeps for later tasks, gives memory back at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of about ``BATCH`` bytes (set for the session, as it is read when the plan runs)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df.mapInArrow(released(run), schema)
+
+
 def fold(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

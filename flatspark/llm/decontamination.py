@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 from .textops import ALNUM, HashSet, Tokenizer, char_positions, mix, slices, text_buffer, word_hash
 
 WINDOW = 13
@@ -344,12 +344,12 @@ def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> list:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each document: counts, items and merged removal spans (code points)."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(scores(benchmark_blocks(benchmark, block)), SCHEMA)
+    return docs.transform(mapped, scores(benchmark_blocks(benchmark, block)), SCHEMA)
 
 
 def remove_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without contaminated ones and without hit passages; same columns."""
-    return documents.mapInArrow(removals(benchmark_blocks(benchmark)), documents.schema)
+    return documents.transform(mapped, removals(benchmark_blocks(benchmark)), documents.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

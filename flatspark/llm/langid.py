@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, mapped, table
 from .textops import slices, text_buffer
 
 HIDDEN = 8
@@ -262,13 +262,13 @@ def identify(documents: DataFrame, label: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document."""
     net = documents.sparkSession.sparkContext.broadcast(fit(documents, label))
     docs = documents.select(F.col("doc_id").cast("long"), (fold("doc_id", HELD_OUT) == 0).alias("held_out"), F.col("text").cast("string"))
-    return docs.mapInArrow(predicted(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.transform(mapped, predicted(net), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(documents: DataFrame, label: str = "lang", least: float = REJECT) -> DataFrame:
     """The documents with letters whose best language has a probability of ``least`` or more; same columns."""
     net = documents.sparkSession.sparkContext.broadcast(fit(documents, label))
-    return documents.mapInArrow(kept(net, least), documents.schema)
+    return documents.transform(mapped, kept(net, least), documents.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fold, row_keys, table
+from .common import checkpoint, fold, mapped, row_keys, table
 from .ppm import Trie, framed, grams, symbol_rows
 from .textops import LOWER, NON_SPACE, Tokenizer, slices, text_buffer
 
@@ -138,7 +138,7 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (fold("doc_id", HELD_OUT) == 0).alias("held_out"))
     train = docs.where("NOT held_out")
-    found = checkpoint(train.select("text").mapInArrow(counts_of(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    found = checkpoint(train.select("text").transform(mapped, counts_of(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words, strings = (found.where(F.col("kind") == k).select("key", "n") for k in (WORD, GRAM))
 
     sizes = words.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()
@@ -164,7 +164,7 @@ def score_documents(documents: DataFrame, order: int = ORDER) -> DataFrame:
     trie = spark.sparkContext.broadcast((keys.view(np.uint64), counts))
 
     divisor = n_all + 0.1 * (n_kinds + 1)
-    rows = checkpoint(docs.mapInArrow(scored(trie, heavy, order, divisor, n_end), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"))
+    rows = checkpoint(docs.transform(mapped, scored(trie, heavy, order, divisor, n_end), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"))
     tail = rows.select("uid", F.explode("tail").alias("key"))
     rare = words.where(F.col("n") < least)
     terms = (

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 from .textops import slices, text_buffer
 from .webp import FormatError, channels, decode, encode_even
 
@@ -85,17 +85,17 @@ def read_pixels(batches):
 
 def to_media(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the file of each text."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(write_media, "doc_id long, n_bytes long, media binary")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, write_media, "doc_id long, n_bytes long, media binary")
 
 
 def pixels_of(media: DataFrame, key: str, column: str) -> DataFrame:
     """media_id, width, height and ARGB numbers, row by row, of each file; nulls for other bytes."""
-    return media.select(F.col(key).cast("long").alias("media_id"), F.col(column).cast("binary").alias("media")).mapInArrow(read_pixels, "media_id long, width int, height int, argb array<long>")
+    return media.select(F.col(key).cast("long").alias("media_id"), F.col(column).cast("binary").alias("media")).transform(mapped, read_pixels, "media_id long, width int, height int, argb array<long>")
 
 
 def features(documents: DataFrame) -> DataFrame:
     """Writes each text as a file, reads it back and computes digests and channel sums."""
-    return to_media(documents).mapInArrow(read_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return to_media(documents).transform(mapped, read_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_keys, table
+from .common import checkpoint, mapped, row_keys, table
 from .textops import ALNUM, Tokenizer, mix, slices, text_buffer
 
 SHINGLE = 5
@@ -215,10 +215,10 @@ def similar(pairs: DataFrame, reps: DataFrame, shingles: DataFrame) -> DataFrame
     """Those of the pairs (a, b) that are similar."""
     for c in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("uid").alias(c), F.col("sig").alias(f"sig_{c}")), c)
-    pairs = pairs.mapInArrow(likely, "a long, b long")
+    pairs = pairs.transform(mapped, likely, "a long, b long")
     for c in ("a", "b"):
         pairs = pairs.join(shingles.select(F.col("uid").alias(c), F.col("cells").alias(f"cells_{c}")), c)
-    return pairs.mapInArrow(compared, "a long, b long")
+    return pairs.transform(mapped, compared, "a long, b long")
 
 
 def shared(asking: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -283,13 +283,13 @@ def links_left(placed: DataFrame, shingles: DataFrame) -> DataFrame:
     asking = rows.where("comp != main").select(*columns, F.lit(True).alias("asks"), place(F.col("ask_blocks")).alias("ask_block"), every(F.col("blocks")).alias("block"))
     others = rows.select(*columns, F.lit(False).alias("asks"), place(F.col("blocks")).alias("block"), every(F.col("ask_blocks")).alias("ask_block"))
     by = ["key", "ask_block", "block"]
-    return asking.unionByName(others).repartition(*by).sortWithinPartitions(*by).mapInArrow(linked, "a long, b long")
+    return asking.unionByName(others).repartition(*by).sortWithinPartitions(*by).transform(mapped, linked, "a long, b long")
 
 
 def near_classes(documents: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size of each document."""
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = checkpoint(docs.mapInArrow(signed, "uid long, doc_id long, tid binary, weight long, sig binary, bands array<long>"))
+    rows = checkpoint(docs.transform(mapped, signed, "uid long, doc_id long, tid binary, weight long, sig binary, bands array<long>"))
     first = rows.groupBy("tid").agg(F.min("uid").alias("rep"))
     known = rows.select("uid", "doc_id", "tid").join(first, "tid").select("uid", "doc_id", "rep")
     reps = rows.join(first.select(F.col("rep").alias("uid")), "uid", "left_semi")
@@ -304,8 +304,8 @@ def near_classes(documents: DataFrame) -> DataFrame:
 
     # Shingles of the texts that share a bucket; the texts are found by their digest.
     wanted = reps.select("uid", "tid").join(crowded.select("uid").distinct(), "uid", "left_semi")
-    texts = docs.select("text").mapInArrow(digests, "tid binary, text string").join(wanted, "tid").select("uid", "text")
-    shingles = checkpoint(texts.mapInArrow(shingled, "uid long, cells binary").groupBy("uid").agg(F.first("cells").alias("cells")))
+    texts = docs.select("text").transform(mapped, digests, "tid binary, text string").join(wanted, "tid").select("uid", "text")
+    shingles = checkpoint(texts.transform(mapped, shingled, "uid long, cells binary").groupBy("uid").agg(F.first("cells").alias("cells")))
 
     stars = members.where((F.col("uid") != F.col("leader")) & near_size(F.col("weight"), F.col("leader_weight"))).select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
     links = checkpoint(similar(stars, reps, shingles))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_keys, table
+from .common import checkpoint, mapped, row_keys, table
 from .textops import slices, text_buffer
 
 KINDS = ("assign", "access", "hex", "token")
@@ -101,7 +101,7 @@ def scan(batches):
 
 def scanned(documents: DataFrame, repository: str, owner: str) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return checkpoint(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text(repository).alias("repo"), text(owner).alias("owner")).mapInArrow(scan, SCHEMA))
+    return checkpoint(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text(repository).alias("repo"), text(owner).alias("owner")).transform(mapped, scan, SCHEMA))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -176,11 +176,11 @@ def keyed(batches):
 
 def redact_live(documents: DataFrame, repository: str = "doc_id", owner: str = "source", mark: str = "<secret>") -> DataFrame:
     """The documents, with live-looking credentials replaced; same columns. Only rows with candidates move."""
-    clean = documents.mapInArrow(with_candidates(False), documents.schema)
-    rest = checkpoint(documents.mapInArrow(with_candidates(True), documents.schema).mapInArrow(keyed, documents.schema.simpleString()[7:-1] + ",__uid:bigint"))
+    clean = documents.transform(mapped, with_candidates(False), documents.schema)
+    rest = checkpoint(documents.transform(mapped, with_candidates(True), documents.schema).transform(mapped, keyed, documents.schema.simpleString()[7:-1] + ",__uid:bigint"))
     rows = scanned(rest.select(F.col("__uid").alias("doc_id"), "text", F.col(repository).alias("__repo"), F.col(owner).alias("__owner")), "__repo", "__owner")
     cut = judged(rows).where("live AND (kind < 3 OR owners = 1)").join(rows.select("uid", F.col("doc_id").alias("__uid")), "uid").groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
-    return clean.unionByName(rest.join(cut, "__uid", "left").mapInArrow(redactor(mark), documents.schema).select(documents.columns))
+    return clean.unionByName(rest.join(cut, "__uid", "left").transform(mapped, redactor(mark), documents.schema).select(documents.columns))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

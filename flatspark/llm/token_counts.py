@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 from .textops import slices, text_buffer
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -125,7 +125,7 @@ def counted(pieces):
 def count_tokens(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces and score of each document."""
     pieces = documents.sparkSession.sparkContext.broadcast(vocabulary(model))
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(counted(pieces), "doc_id long, n_pieces long, score double")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, counted(pieces), "doc_id long, n_pieces long, score double")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

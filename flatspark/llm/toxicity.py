@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fold, table
+from .common import checkpoint, fold, mapped, table
 from .textops import ALNUM, LOWER, HashSet, Tokenizer, slices, text_buffer, word_hash
 
 SAMPLE = 16_000
@@ -271,9 +271,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # A sample of a size that is set: its texts are written once, one of equal ones.
     texts = checkpoint(texts.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part")).dropDuplicates(["text"]))
     toxic = F.sum("toxic")
-    stems = texts.where("part < 2").select("text", "toxic").mapInArrow(stems_of, "key long, toxic int").groupBy("key").agg(toxic.alias("toxic"), F.count("*").alias("n")).where((F.col("toxic") >= STEM_TEXTS) & (F.col("toxic") >= STEM_SHARE * F.col("n")))
+    stems = texts.where("part < 2").select("text", "toxic").transform(mapped, stems_of, "key long, toxic int").groupBy("key").agg(toxic.alias("toxic"), F.count("*").alias("n")).where((F.col("toxic") >= STEM_TEXTS) & (F.col("toxic") >= STEM_SHARE * F.col("n")))
     stems = np.array([r.key for r in stems.select("key").collect()], dtype=np.int64).view(np.uint64)
-    got = texts.where("part >= 2").select("doc_id", "toxic", "part", "text").mapInArrow(featured(stems), "doc_id long, toxic int, part long, x array<double>").orderBy("doc_id", "x").collect()
+    got = texts.where("part >= 2").select("doc_id", "toxic", "part", "text").transform(mapped, featured(stems), "doc_id long, toxic int, part long, x array<double>").orderBy("doc_id", "x").collect()
     return Model(np.array([r.x for r in got], dtype=np.float64).reshape(-1, len(NAMES)), np.array([r.toxic for r in got], dtype=np.float64), np.array([r.part == 3 for r in got], dtype=bool), stems)
 
 
@@ -281,7 +281,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
     docs = documents.select(F.col("doc_id").cast("long"), (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
-    return docs.mapInArrow(scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.transform(mapped, scored(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, table
+from .common import checkpoint, mapped, shared_dir, table
 
 ARCHIVE = 8 << 20
 REVISIT = 1000
@@ -244,14 +244,14 @@ def write_warc(pages: DataFrame, folder: str, timestamp=None) -> int:
     """Writes the pages as archives to a folder that all executors share; gives how many."""
     rows = with_records(pages, timestamp=timestamp).select("page_id", "url", "html", "digest", "time", "kind", "refers_to")
     # What a lost or repeated task has written stays under tmp: only names that came back are moved.
-    names = checkpoint(rows.mapInArrow(write_archives(folder), "archive string"))
-    return names.mapInArrow(commit_archives(folder), "archive string").count()
+    names = checkpoint(rows.transform(mapped, write_archives(folder), "archive string"))
+    return names.transform(mapped, commit_archives(folder), "archive string").count()
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each record of the archives of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
-    return files.mapInArrow(read_archives, READ)
+    return files.transform(mapped, read_archives, READ)
 
 
 def merged(pdf_batches):
@@ -302,7 +302,7 @@ def merge_index(index: DataFrame) -> DataFrame:
     # A range partitioning cuts all runs at the same splitters; its partitions are the ranges.
     cut = index.repartitionByRange(ranges, "urlkey", "timestamp", "id").withColumn("range", F.spark_partition_id().cast("long"))
     pieces = cut.sortWithinPartitions("archive", "urlkey", "timestamp", F.asc_nulls_last("id"))
-    lines = checkpoint(pieces.select(*INDEX_COLUMNS).mapInArrow(merged, "range long, urlkey string, timestamp string, id long, archive string, offset long, size long, place long"))
+    lines = checkpoint(pieces.select(*INDEX_COLUMNS).transform(mapped, merged, "range long, urlkey string, timestamp string, id long, archive string, offset long, size long, place long"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.groupBy("range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("range", "start")
     placed = lines.join(starts, "range").withColumn("place", F.col("place") + F.col("start"))
