@@ -4,7 +4,7 @@ Texts are cut into windows of ``STEPS`` bytes, which all run side by side. In ea
 ``HIDDEN`` gated units reads the window; from both states of a byte a linear layer and a softmax label
 that position. The probabilities of all positions of a document, those of every window of the whole
 text, are averaged; the largest is the language and the score. Weights are learned by backpropagation
-through time with Adam, from at most ``SAMPLE`` windows of ``DRAWN`` bytes, one from each of the labelled
+through time with Adam, in about ``UPDATES`` updates, from at most ``SAMPLE`` windows of ``DRAWN`` bytes, one from each of the labelled
 training documents with the least hash of its id, at a place given by the hash. Languages are the
 label's values in this sample. Gates and candidate use piecewise linear curves, which cost no exponential.
 
@@ -28,7 +28,7 @@ HIDDEN = 8
 STEPS = 48
 DRAWN = 192
 SAMPLE = 2400
-EPOCHS = 12
+UPDATES = 228
 BATCH = 512
 HELD_OUT = 5
 #: Windows that run side by side; a long text takes several runs.
@@ -143,7 +143,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, steps: int = STEPS) -> tuple[
     return codes, row
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(texts: list[bytes], labels: list[str], updates: int = UPDATES, seed: int = 7) -> Network:
     names = sorted(set(labels))
     net = Network(names, seed)
     if len(names) < 2:
@@ -154,8 +154,8 @@ def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, whole = 0, max(1, epochs * -(-len(target) // BATCH))
-    for _ in range(epochs):
+    step, whole = 0, updates
+    for _ in range(-(-updates // max(1, -(-len(target) // BATCH)))):
         order = rng.permutation(len(target))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]

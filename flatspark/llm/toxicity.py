@@ -28,7 +28,7 @@ SAMPLE = 16_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 NEAR = 5
-TREES, DEPTH, BINS, RATE, LEAF = 80, 3, 32, 0.12, 8.0
+TREES, DEPTH, BINS, RATE, LEAF = 80, 3, 32, 0.12, 1.0
 
 #: A stem has 3 to 8 bytes; so many toxic texts at least have it, and so large a part of the texts that have it is toxic.
 STEM_SIZES = range(3, 9)
