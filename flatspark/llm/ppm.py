@@ -6,6 +6,10 @@ seen c times has c / (n + d), the escape d / (n + d). After an escape the symbol
 are excluded: they are a subset of those of the shorter one, so what is to be taken off n and d is
 known for each longer context and is stored with it. Below order 0 the symbols not seen at all share
 what is left evenly. Byte 0xFF, which UTF-8 has not, stands before a text and ends it.
+
+A trie may hold a range of the contexts only, in the order of :func:`turned`. A lower context is then
+either within the range, with all its strings, or one that a bound of the range cuts; the strings of
+the cut ones are given as ``edges``. So each string of the range gets the score of the whole trie.
 """
 
 import numpy as np
@@ -45,6 +49,13 @@ def symbol_rows(begin: np.ndarray, end: np.ndarray, order: int) -> np.ndarray:
     return np.cumsum(keep, dtype=np.int8).astype(bool)
 
 
+def turned(strings: np.ndarray, order: int) -> np.ndarray:
+    """The context of each gram with its nearest byte highest: contexts that share an end lie together."""
+    if not order:
+        return np.zeros(len(strings), dtype=np.uint64)
+    return (strings.astype(np.uint64).byteswap() << np.uint64(8)) >> np.uint64(64 - 8 * order)
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index in sorted keys, or -1."""
     if not len(keys):
@@ -54,15 +65,23 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """``keys``: grams of the top order with ``counts``. Probabilities are log10."""
+    """``keys``: grams of the top order with ``counts``. Probabilities are log10.
+
+    ``edges``: by level below the top, grams with counts that stand for those of their contexts.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, edges: dict | None = None):
         self.order = order
         keys, counts = np.asarray(keys, dtype=np.uint64), np.asarray(counts, dtype=np.int64)
         level = keys[np.argsort(keys)], counts[np.argsort(keys)]
         self.levels: list[dict] = []
         for k in range(order, -1, -1):
             keys, counts = level
+            if edges and k < order:
+                more, n = edges[k]
+                own = find(np.unique(more >> np.uint64(8)), keys >> np.uint64(8)) < 0
+                keys, counts = np.concatenate([keys[own], more]), np.concatenate([counts[own], n])
+                keys, counts = keys[by := np.argsort(keys)], counts[by]
             contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
             self.levels.append({"keys": keys, "counts": counts, "contexts": contexts, "n": np.add.reduceat(counts, first) if len(keys) else counts, "d": np.diff(np.append(first, len(keys)))})
             if k:

@@ -65,6 +65,17 @@ def test_base_score(spark, sf):
         assert r.base_score == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("nodes", [20_000, 700])
+def test_scores_do_not_depend_on_the_trie_limit(spark, sf, nodes, monkeypatch):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").limit(40 if nodes < 1000 else 200)
+    whole = {r.doc_id: r for r in lm_scoring.score_documents(documents).collect()}
+    monkeypatch.setattr(lm_scoring, "NODES", nodes)
+    got = lm_scoring.score_documents(documents).collect()
+    assert len(got) == len(whole) > 0
+    for r in got:
+        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-9) and r.base_score == pytest.approx(whole[r.doc_id].base_score, rel=1e-9)
+
+
 def test_packing_places(spark, sf):
     got = packing.op2_packing(spark, sf).collect()
     assert all(r.n_tokens <= r.pad_to for r in got)
