@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. Language ID drops texts without letters or without a likely language; of near duplicates
-the least id of a class stays; contaminated documents go and shorter benchmark passages are cut out of
+one row of a class stays, that of the least id; contaminated documents go and shorter benchmark passages are cut out of
 the others; live-looking credentials are replaced; packing gives each document its bucket and batch.
 """
 

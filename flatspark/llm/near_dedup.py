@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, mapped, row_keys, table
 from .textops import ALNUM, Tokenizer, mix, slices, text_buffer
@@ -286,12 +287,12 @@ def links_left(placed: DataFrame, shingles: DataFrame) -> DataFrame:
     return asking.unionByName(others).repartition(*by).sortWithinPartitions(*by).transform(mapped, linked, "a long, b long")
 
 
-def near_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id and class_size of each document."""
+def classed(documents: DataFrame) -> DataFrame:
+    """doc_id, tid (digest of the text) and class of each document."""
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = checkpoint(docs.transform(mapped, signed, "uid long, doc_id long, tid binary, weight long, sig binary, bands array<long>"))
     first = rows.groupBy("tid").agg(F.min("uid").alias("rep"))
-    known = rows.select("uid", "doc_id", "tid").join(first, "tid").select("uid", "doc_id", "rep")
+    known = rows.select("doc_id", "tid").join(first, "tid").select("doc_id", "tid", "rep")
     reps = rows.join(first.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
     banded = reps.select("uid", "weight", F.explode("bands").alias("key"))
@@ -313,15 +314,41 @@ def near_classes(documents: DataFrame) -> DataFrame:
     placed = crowded.join(parts.select(F.col("node").alias("uid"), "comp"), "uid", "left").select("key", "uid", "weight", F.coalesce("comp", "uid").alias("comp"))
     parts = components(links.unionByName(links_left(placed, shingles)))
 
-    classed = known.join(parts.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"))
-    heads = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return classed.join(heads, "class").select("doc_id", "class_id", "class_size")
+    return known.join(parts.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", "tid", F.coalesce("comp", "rep").alias("class"))
+
+
+def near_classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id and class_size of each document."""
+    rows = classed(documents)
+    heads = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(heads, "class").select("doc_id", "class_id", "class_size")
+
+
+def with_digest(batches):
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        ids = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "__tid"])
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those whose class has a lesser id; same columns. Rows with a null id stay."""
-    gone = near_classes(documents).where("doc_id > class_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    """One document of each class; same columns.
+
+    The least id stays (null ids last), of several texts under it the one of the least digest, and of
+    rows with that id and text any one. Rows are known by id and text, not by id alone.
+    """
+    rows = classed(documents)
+    heads = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")).alias("head"))
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tid") == F.col("head.tid"))
+    keys = rows.join(heads, "class").groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__of")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n"))
+    keys = checkpoint(keys.where("NOT stays OR n > 1"))
+    marked = documents.transform(mapped, with_digest, T.StructType([*documents.schema.fields, T.StructField("__tid", T.BinaryType())]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tid") == F.col("__of"))
+    out = marked.join(keys, same, "left_anti").select(documents.columns)
+    again = keys.where("stays")
+    if again.take(1):
+        out = out.unionByName(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "__tid"]).select(documents.columns))
+    return out
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,15 @@ def test_near_classes_are_those_of_all_pairs(spark, sf):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and all(min(v) == k for k, v in got.items())
 
 
+def test_one_of_each_class_stays(spark):
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1)), (4, words(4)), (4, words(4)), *[(None, words(2))] * 5, (6, words(1) + " more"), (6, words(6)), (None, words(4)), (None, words(7)), (8, None), (8, ""), (9, words(9)), (9, words(9) + " more")]
+    got = Counter((r.doc_id, r.text or "") for r in near_dedup.keep_one(frame(spark, rows).repartition(3)).collect())
+    nine = [k for k in got if k[0] == 9]
+    assert len(nine) == 1 and got.pop(nine[0]) == 1
+    assert got == Counter([(1, words(1)), (4, words(4)), (None, words(2)), (6, words(6)), (None, words(7)), (8, "")])
+
+
 def test_media_values(spark, sf):
     docs = {d.doc_id: (d.text or "").encode() for d in table(spark, sf, "documents")}
     for r in media.op8_media(spark, sf).collect():
