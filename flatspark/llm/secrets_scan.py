@@ -4,9 +4,10 @@ Base kinds: ``assign`` (a credential word, then : or =, then a value of 6 or mor
 ``access`` (AKIA keys of 20 or more characters) and ``hex`` (24 or more hexadecimal digits), leftmost
 non-overlapping each. The kind ``token`` adds other runs of 20 or more characters with letters and
 digits. All values are hashed (128 bits) within the scan; the hashes are counted over the corpus by
-distinct owners and by distinct repositories. A value that ``EXAMPLE_OWNERS`` or more owners have, or
-that reads like a placeholder, is an example; one that fewer owners have is live-looking. Base spans
-are always reported; a ``token`` span only if it is live-looking and of one owner.
+distinct owners and by distinct repositories. A value that ``EXAMPLE_OWNERS`` or more owners have is an
+example, and so is one of which placeholder words make up half or more, or whose entropy is below
+``MIN_ENTROPY`` bits or, for short values, below ``SHARE`` of what its length allows; others are
+live-looking. Base spans are always reported; a ``token`` span only if it is live-looking.
 
 Only hashes and positions are shuffled, never texts. Counting dedups a value within each document
 before the shuffle and sums partially, and a value in a third of all rows meets its count in a join
@@ -34,6 +35,7 @@ from .textops import slices, text_buffer
 KINDS = ("assign", "access", "hex", "token")
 EXAMPLE_OWNERS = 3
 MIN_ENTROPY = 2.5
+SHARE = 0.6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more is what is kept of [0-9a-f]+
@@ -50,7 +52,8 @@ def entropy(value: str) -> float:
 
 
 def looks_live(value: str) -> bool:
-    return entropy(value) >= MIN_ENTROPY and not PLACEHOLDER.search(value)
+    filler = sum(len(m[0]) for m in PLACEHOLDER.finditer(value))
+    return entropy(value) >= min(MIN_ENTROPY, SHARE * math.log2(len(value))) and 2 * filler < len(value)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -115,7 +118,7 @@ def judged(rows: DataFrame) -> DataFrame:
 def scan_secrets(documents: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """A row for each document: base counts and digest, all spans, and how many look live or like examples."""
     rows = scanned(documents, repository, owner)
-    shown = judged(rows).where("kind < 3 OR (live AND owners = 1)")
+    shown = judged(rows).where("kind < 3 OR live")
     spans = shown.groupBy("uid").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"),
         F.count_if("live").alias("n_live"),
@@ -179,7 +182,7 @@ def redact_live(documents: DataFrame, repository: str = "doc_id", owner: str = "
     clean = documents.transform(mapped, with_candidates(False), documents.schema)
     rest = checkpoint(documents.transform(mapped, with_candidates(True), documents.schema).transform(mapped, keyed, documents.schema.simpleString()[7:-1] + ",__uid:bigint"))
     rows = scanned(rest.select(F.col("__uid").alias("doc_id"), "text", F.col(repository).alias("__repo"), F.col(owner).alias("__owner")), "__repo", "__owner")
-    cut = judged(rows).where("live AND (kind < 3 OR owners = 1)").join(rows.select("uid", F.col("doc_id").alias("__uid")), "uid").groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    cut = judged(rows).where("live").join(rows.select("uid", F.col("doc_id").alias("__uid")), "uid").groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
     return clean.unionByName(rest.join(cut, "__uid", "left").transform(mapped, redactor(mark), documents.schema).select(documents.columns))
 
 

@@ -103,6 +103,16 @@ def test_secret_ownership(spark):
     assert text[9] == "mine <secret>" and common in text[0]
 
 
+def test_short_and_partly_placeholder_secrets_go(spark):
+    token = "Zq8Lm3Xw9Rt5Yp2Kd7Vb"
+    texts = ["password=hello1", "secret: aab123", "api_key=yourQ7xk29ZmPw4LtR8v", f"run {token} now", f"see {token} there", "password=changeme", "password=aaaaaa"]
+    docs = spark.createDataFrame([(i, t, f"o{i}", "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long")
+    text = {r.doc_id: r.text for r in secrets_scan.redact_live(docs).collect()}
+    assert [text[i] for i in range(7)] == ["<secret>"] * 3 + ["run <secret> now", "see <secret> there", "password=changeme", "password=aaaaaa"]
+    spans = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secrets_scan.scan_secrets(docs).collect()}
+    assert spans[3] == ("token:4:24", 1, 0) and spans[0] == ("assign:0:15", 1, 0) and spans[5] == ("assign:0:17", 0, 1)
+
+
 def test_decontamination_is_exact(spark, sf):
     words = lambda t: [(m[0], m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
     items = defaultdict(set)
