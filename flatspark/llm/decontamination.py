@@ -12,7 +12,8 @@ The benchmark goes to the executors in blocks of at most ``BLOCK`` bytes of text
 broadcast by itself, and a task holds one block at a time; a larger benchmark means more blocks, not
 more memory. No shuffle takes place.
 
-Defined results: a null or empty text or item has no words; an item without words has no window;
+Defined results: a null or empty text or item has no words; an item without words has no window; the
+windows of an item with a null id count as hits, but it is not among n_items and items_sha256;
 repeated rows give repeated results; rows with a null id are scored like others; an empty table gives
 an empty result; other columns of the input do not matter.
 """
@@ -148,7 +149,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Windows:
     """The windows of a block of items: symbols, patterns by length, and the items of each pattern."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         tokenize = Tokenizer(ALNUM)
         data = np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8)
         words = tokenize(data, np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)]))
@@ -158,7 +159,7 @@ class Windows:
             size = min(window, len(own))
             for i in range(len(own) - size + 1 if size else 0):
                 part = own[i : i + size]
-                found.setdefault(part.tobytes(), (part, set()))[1].add(item)
+                found.setdefault(part.tobytes(), (part, set()))[1].update([] if item is None else [item])
         parts = [p for p, _ in found.values()]
         self.vocabulary = HashSet(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
         self.pairs = HashSet(np.unique(np.concatenate([pair_hash(p[:-1], p[1:]) for p in parts])) if parts else np.zeros(0, np.uint64))
@@ -335,8 +336,8 @@ def removals(broadcasts):
 def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> list:
     """Broadcasts of [(item id as text, text in UTF-8)], each of about ``block`` bytes at most."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text")).where("item IS NOT NULL")
-    total = items.agg(F.sum(F.length("text") + F.length("item"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    total = items.agg(F.sum(F.length("text") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
     n = max(1, math.ceil(total / block))
     return [spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]) for k in range(n)]
 

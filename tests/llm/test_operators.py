@@ -113,6 +113,16 @@ def test_short_and_partly_placeholder_secrets_go(spark):
     assert spans[3] == ("token:4:24", 1, 0) and spans[0] == ("assign:0:15", 1, 0) and spans[5] == ("assign:0:17", 0, 1)
 
 
+def test_items_with_null_ids_are_hit(spark):
+    leak = " ".join(f"leak{i}" for i in range(13))
+    benchmark = spark.createDataFrame([(None, leak), (2, "other words here")], "item_id long, text string")
+    docs = frame(spark, [(1, leak), (2, "nothing of it"), (3, leak + " other words here")])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r.items_sha256) for r in decontamination.decontaminate(docs, benchmark).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (13, 0, True, digest("")), 2: (0, 0, False, digest("")), 3: (16, 1, True, digest("2"))}
+    assert [r.doc_id for r in decontamination.remove_benchmark(docs, benchmark).collect()] == [2]
+
+
 def test_decontamination_is_exact(spark, sf):
     words = lambda t: [(m[0], m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
     items = defaultdict(set)
