@@ -6,19 +6,24 @@ import datetime
 import hashlib
 import os
 
+import pyarrow.fs as pafs
+
 from flatspark.operators.rules import Report
 from flatspark.plans.layout import Layout
 
 
 def sha256_of(path: str) -> str:
-    """Digest of a file, or of a folder's files by name, without Spark's own."""
-    if os.path.isdir(path):
-        files = sorted(os.path.join(d, n) for d, _, names in os.walk(path) for n in names if n[0] not in "._")
-    else:
-        files = [path]
+    """Digest of a file, or of a folder's files by name, without Spark's own; a path or the URI of a store."""
+    store, where = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+    found = store.get_file_info(where)
+    if found.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(f"no such file: {path}")
+    names = [where]
+    if found.type == pafs.FileType.Directory:
+        names = sorted(f.path for f in store.get_file_info(pafs.FileSelector(where, recursive=True)) if f.is_file and f.base_name[0] not in "._")
     digest = hashlib.sha256()
-    for name in files:
-        with open(name, "rb") as f:
+    for name in names:
+        with store.open_input_stream(name, compression=None) as f:
             while block := f.read(1 << 20):
                 digest.update(block)
     return digest.hexdigest()

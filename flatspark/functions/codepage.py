@@ -45,7 +45,11 @@ def decode(raw: Column, page: str) -> Column:
         return F.make_valid_utf8(raw.cast("string"))
     moved = [(chr(b), c) for b, c in enumerate(byte_table(page)) if chr(b) != c]
     text = F.decode(raw, "ISO-8859-1")
-    return F.translate(text, "".join(a for a, _ in moved), "".join(c for _, c in moved)) if moved else text
+    if not moved:
+        return text
+    changed = F.translate(text, "".join(a for a, _ in moved), "".join(c for _, c in moved))
+    # ASCII alone has as many bytes in UTF-8 as it had; most records of most pages need no translation.
+    return F.when(F.octet_length(text) == F.length(raw), text).otherwise(changed) if min(moved)[0] > "\x7f" else changed
 
 
 def undecodable(raw: Column, page: str) -> Column:
@@ -63,4 +67,8 @@ def encode(text: Column, page: str) -> Column:
     if is_utf8(page):
         return F.encode(text, "UTF-8")
     moved = [(c, chr(b)) for b, c in enumerate(byte_table(page)) if chr(b) != c and c != LOST]
-    return F.encode(F.translate(text, "".join(a for a, _ in moved), "".join(c for _, c in moved)) if moved else text, "ISO-8859-1")
+    if not moved:
+        return F.encode(text, "ISO-8859-1")
+    changed = F.translate(text, "".join(a for a, _ in moved), "".join(c for _, c in moved))
+    plain = min(moved)[0] > "\x7f" and min(b for _, b in moved) > "\x7f"
+    return F.encode(F.when(F.octet_length(text) == F.length(text), text).otherwise(changed) if plain else changed, "ISO-8859-1")

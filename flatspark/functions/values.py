@@ -1,70 +1,85 @@
-"""Conversion of field texts to strings, dates and decimals, with the error of each."""
+"""Conversion of field texts to strings, dates and decimals, with the error of each.
 
-from __future__ import annotations
+All are SQL expressions of column names as text: a layout of many fields is then built with few calls
+to the JVM. A name is that of a column with a stripped text, unless stated otherwise.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 #: What counts as white space at either end of a text.
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 DATE_FORMAT = "YYYYMMDD"
+PLAIN = r"\A[+-]?[0-9]+\z"
+EIGHT = r"\A[0-9]{8}\z"
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(BLANKS))
+def lit(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def quoted(text: Column) -> Column:
-    """The text as a quoted literal: double quotes only if it has single quotes alone."""
-    t = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for raw, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-        t = F.replace(t, F.lit(raw), F.lit(shown))
-    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
-    return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+def strip(spaced: str) -> str:
+    """A text without white space at its ends; its spaces have gone already (``trim``), which mostly is all."""
+    plain = " AND ".join(f"ascii({c}) BETWEEN 33 AND 126" for c in (spaced, f"substring({spaced}, -1, 1)"))
+    return f"CASE WHEN {plain} THEN {spaced} ELSE btrim({spaced}, {lit(BLANKS)}) END"
 
 
-def result(value: Column, error: Column) -> Column:
-    return F.struct(value.alias("value"), error.alias("error"))
+def quoted(text: str) -> str:
+    """The text as a quoted literal: double quotes only if it has single quotes alone."""
+    t = text
+    for raw, shown in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        t = f"replace({t}, {lit(raw)}, {lit(shown)})"
+    single, double = lit("'"), lit('"')
+    return f"CASE WHEN contains({text}, {single}) AND NOT contains({text}, {double}) THEN concat({double}, {t}, {double}) ELSE concat({single}, replace({t}, {single}, {lit(chr(92) + chr(39))}), {single}) END"
 
 
-def string_value(text: Column) -> Column:
-    return result(strip(text), F.lit(None).cast("string"))
+def date_value(text: str, fmt: str | None, as_date: bool = False) -> str:
+    """The ISO string (or date) of a YYYYMMDD text that names a day, else null; other formats have no value."""
+    if fmt != DATE_FORMAT:
+        return f"CAST(null AS {'date' if as_date else 'string'})"
+    iso = f"concat(substring({text}, 1, 4), '-', substring({text}, 5, 2), '-', substring({text}, 7, 2))"
+    day = f"try_cast({iso} AS date)"
+    return f"CASE WHEN {text} RLIKE {lit(EIGHT)} AND {text} >= '0001' AND {day} IS NOT NULL THEN {day if as_date else iso} END"
 
 
-def date_value(text: Column, fmt: str | None, as_date: bool = False) -> Column:
-    """An ISO string (or a date) of a YYYYMMDD text; other formats fail for each record."""
-    kind = "date" if as_date else "string"
+def date_error(text: str, shown: str, fmt: str | None) -> str:
+    """Why a text has no date; ``shown`` is the text as it stands in the record."""
     if fmt != DATE_FORMAT:
-        return result(F.lit(None).cast(kind), F.lit(f"unsupported date format: {fmt!r}"))
-    s = strip(text)
-    shaped = s.rlike(r"\A[0-9]{8}\z")
-    day = F.when(shaped & (F.substring(s, 1, 4) >= "0001"), F.try_to_date(s, "yyyyMMdd"))
-    month = F.substring(s, 5, 2)
-    reason = F.when(F.substring(s, 1, 4) < "0001", "year 0 is out of range").when((month < "01") | (month > "12"), "month must be in 1..12").otherwise("day is out of range for month")
-    error = F.when(~shaped, F.concat(F.lit("invalid date "), quoted(text), F.lit(f" (expected {DATE_FORMAT})"))).when(day.isNull(), F.concat(F.lit("invalid date "), quoted(text), F.lit(": "), reason))
-    return result(day if as_date else day.cast("string"), error)
+        return lit(f"unsupported date format: {fmt!r}")
+    month = f"substring({text}, 5, 2)"
+    reason = f"CASE WHEN {text} < '0001' THEN 'year 0 is out of range' WHEN {month} < '01' OR {month} > '12' THEN 'month must be in 1..12' ELSE 'day is out of range for month' END"
+    return f"concat('invalid date ', {quoted(shown)}, CASE WHEN {text} RLIKE {lit(EIGHT)} THEN concat(': ', {reason}) ELSE {lit(f' (expected {DATE_FORMAT})')} END)"
+
 
+def unsigned(text: str) -> str:
+    """A number's text without its trailing sign and its underscores."""
+    return f"replace(CASE WHEN endswith({text}, '-') THEN btrim(substring({text}, 1, length({text}) - 1), {lit(BLANKS)}) ELSE {text} END, '_')"
 
-def decimal_value(text: Column, scale: int, strict_scale: bool = False) -> Column:
-    """decimal(38, scale) of a number with an optional trailing sign.
+
+def decimal_value(body: str, scale: int, strict_scale: bool = False) -> str:
+    """decimal(38, scale) of an :func:`unsigned` number, else null.
 
     A text without a point has its point put ``scale`` digits from the right; one with a point keeps it,
-    and further digits are rounded half up (or are an error if ``strict_scale``).
+    and further digits are rounded half up (or have no value if ``strict_scale``).
     """
     kind = f"decimal(38,{scale})"
-    s = strip(text)
-    negative = s.endswith("-")
-    body = F.replace(strip(F.when(negative, s.substr(F.lit(1), F.length(s) - 1)).otherwise(s)), F.lit("_"))
-    numeric = body.rlike(NUMBER)
-    pointed = F.contains(body, F.lit("."))
-    exponent = F.regexp_extract(body, r"[eE]([+-]?[0-9]+)\z", 1)
-    shift = F.coalesce(exponent.try_cast("int"), F.when(exponent == "", F.lit(0))) - F.lit(scale)
-    moved = F.concat(F.regexp_extract(body, r"\A([+-]?[0-9]*)", 1), F.lit("E"), shift.cast("string"))
-    value = F.when(numeric, F.when(pointed, body.try_cast(kind)).otherwise(moved.try_cast(kind)))
-    error = F.when(s == "", F.lit("empty decimal")).when(value.isNull(), F.concat(F.lit("invalid decimal "), quoted(text)))
+    moved = f"concat(regexp_extract({body}, '^([+-]?[0-9]*)', 1), 'E', CAST(try_cast(regexp_extract({body}, '[eE]([+-]?[0-9]+)$', 1) AS int) - {scale} AS string))"
+    pointed = f"try_cast({body} AS {kind})"
+    if strict_scale:
+        pointed = f"CASE WHEN length(regexp_extract({body}, '[.]([0-9]*)', 1)) <= {scale} THEN {pointed} END"
+    other = f"CASE WHEN {body} RLIKE {lit(NUMBER)} THEN CASE WHEN contains({body}, '.') THEN {pointed} ELSE try_cast({moved} AS {kind}) END END"
+    return f"CASE WHEN {body} RLIKE {lit(PLAIN)} THEN try_cast(concat({body}, 'E-{scale}') AS {kind}) ELSE {other} END"
+
+
+def signed(value: str, text: str) -> str:
+    """The decimal with the trailing sign of its text."""
+    return f"CASE WHEN endswith({text}, '-') THEN -{value} ELSE {value} END"
+
+
+def decimal_error(text: str, shown: str, scale: int, strict_scale: bool = False) -> str:
+    """Why a text has no decimal."""
+    wrong = f"concat('invalid decimal ', {quoted(shown)})"
     if strict_scale:
-        extra = F.length(F.regexp_extract(body, r"\.([0-9]*)", 1)) > scale
-        error = F.when(error.isNull() & pointed & extra, F.concat(F.lit(f"more than {scale} decimals in "), quoted(text))).otherwise(error)
-    value = F.when(error.isNull(), F.when(negative, -value).otherwise(value))
-    return result(value.cast(kind), error)
+        wrong = f"CASE WHEN ({decimal_value(unsigned(text), scale)}) IS NOT NULL THEN concat({lit(f'more than {scale} decimals in ')}, {quoted(shown)}) ELSE {wrong} END"
+    return f"CASE WHEN {text} = '' THEN 'empty decimal' ELSE {wrong} END"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flatspark.operators.validate import validate
 from flatspark.plans.layout import LIBRARY, Layout, LayoutError, load_layout
-from flatspark.sources.lines import scan_lines
+from flatspark.sources.lines import RECORD_FRAME, first_lines
 
 RECORDS = 5
 BONUS = 10
@@ -50,10 +50,10 @@ def scores(sample: DataFrame, layouts: list[tuple[str, Layout]]) -> DataFrame:
 
 def detect(spark: SparkSession, path: str, folder: str = LIBRARY) -> Detection | None:
     """The best layout, the first by path among equals; None if no record fits any."""
-    first = scan_lines(spark, path).orderBy("line").limit(RECORDS).collect()
+    first = first_lines(spark, path, RECORDS, filled=True)
     if not first:
         return None
     layouts = candidates(folder)
-    sample = spark.createDataFrame(first, "source string, line bigint, record binary")
+    sample = spark.createDataFrame([(path, i, r) for i, r in enumerate(first, 1)], RECORD_FRAME)
     best = scores(sample, layouts).where("score > 0").orderBy(F.desc("score"), "path").first()
     return Detection(dict(layouts)[best.path], best.path, best.score) if best else None

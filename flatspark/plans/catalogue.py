@@ -7,24 +7,28 @@ session's checkpoint directory.
 
 from __future__ import annotations
 
-import tempfile
+import io
+import json
+import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatspark.functions import codepage
 from flatspark.operators import rules as rule_ops
-from flatspark.operators.detect import BONUS, RECORDS, candidates, scores
-from flatspark.operators.infer import infer_lines
+from flatspark.operators.detect import BONUS, RECORDS, candidates, detect, scores
+from flatspark.operators.infer import DELIMITERS, SAMPLE, infer_layout
 from flatspark.operators.validate import diagnostics, rejects, validate, values_of
-from flatspark.plans.layout import LIBRARY, Layout, build_layout, load_layout
+from flatspark.plans.conversion import convert_distributed
+from flatspark.plans.layout import EXAMPLES, LIBRARY, Layout, build_layout, load_layout
 from flatspark.plans.registry import registry
-from flatspark.sinks.text import singer_records, sql_inserts, write_distributed
-from flatspark.sources.flat import read_flat
+from flatspark.sinks.text import singer_records, sql_inserts, write_distributed, write_single
+from flatspark.sources.flat import read_flat, scan
 from flatspark.sources.framed import scan_frames
-from flatspark.sources.lines import from_frame, scan_lines
+from flatspark.sources.lines import from_frame, scan_lines, shared_folder
 from flatspark.streaming.flat import stream_flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,10 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flatspark-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def field(name: str, start: int, length: int, kind: str = "string", **more) -> dict:
@@ -260,16 +261,15 @@ def file_number() -> Column:
 
 @query(f"SELECT o_orderkey::varchar AS id, f::bigint AS f, line::bigint AS line FROM ({LINES_SQL})")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Small splits: a file is read by several tasks, as large files are.
+    # Small splits: a file is read by several tasks, as large files are; they are cut when the scan is made.
     size, key = spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.files.maxPartitionBytes"
     path = files(spark, sf_dir)
     try:
         spark.conf.set(key, "64k")
         lines = scan_lines(spark, f"{path}/f=*")
-        lines.schema  # noqa: B018
-        return validate(lines, DELIMITED).select("value.id", file_number(), "line")
     finally:
         spark.conf.set(key, size)
+    return validate(lines, DELIMITED).select("value.id", file_number(), "line")
 
 
 @query(f"SELECT (o_orderkey % 4)::bigint AS f, count(*) AS n, sum(o_totalprice::decimal(38,2)) AS amount FROM orders GROUP BY 1")
@@ -324,11 +324,30 @@ def detect_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(sample, candidates()).where("score > 0").select(F.substring_index("path", "/", -1).alias("path"), "score")
 
 
-@query("SELECT * FROM (VALUES ('id', 'decimal', 0), ('date', 'date', NULL), ('amount', 'decimal', 2), ('status', 'string', NULL)) t(name, \"type\", scale)")
-def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [bytes(r.record).decode() for r in delimited_records(spark, sf_dir).orderBy("line").limit(49).collect()]
-    found = infer_lines(["id|date|amount|status", *lines], "orders.txt")
-    return spark.createDataFrame([(f["name"], f["type"], f.get("scale")) for f in found["fields"]], "name string, type string, scale int")
+def with_header(spark: SparkSession, sf_dir: str, delimiter: str) -> str:
+    """Orders in one delimited file under a header."""
+    path = folder(spark)
+    names = spark.range(1).select(F.lit(delimiter.join(["id", "date", "amount", "status"])).alias("value"))
+    rows = delimited_records(spark, sf_dir, delimiter).select(F.rtrim(F.col("record").cast("string"), F.lit("\t")).alias("value"))
+    names.unionAll(rows).coalesce(1).write.text(path)
+    return path
+
+
+def _inferred(name: str, sample: int | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = []
+        for d in DELIMITERS:
+            found = infer_layout(spark, with_header(spark, sf_dir, d), sample_lines=sample)
+            rows += [(found["delimiter"], found["has_header"], f["name"], f["type"], f.get("scale")) for f in found["fields"]]
+        return spark.createDataFrame(rows, "delimiter string, has_header boolean, name string, type string, scale int")
+
+    QUERIES[name] = run
+    ORACLES[name] = """SELECT delimiter, true AS has_header, name, "type", scale FROM (VALUES (','), (chr(9)), (';'), ('|')) d(delimiter),
+      (VALUES ('id', 'decimal', 0), ('date', 'date', NULL), ('amount', 'decimal', 2), ('status', 'string', NULL)) t(name, "type", scale)"""
+
+
+_inferred("infer_schema", SAMPLE)
+_inferred("infer_schema_whole_file", None)
 
 
 @query(f"""SELECT 'INSERT INTO "export" ("id", "type", "date", "amount", "currency") VALUES (''' || id || ''', ''O''''' || "type" || ''', ''' || "date" || ''', ' || amount || ', ''USD'');' AS value FROM ({ORDER_SQL})""")
@@ -365,10 +384,8 @@ _round_trip("csv", lambda spark, path: spark.read.schema(WRITTEN).csv(path, head
 _round_trip("ndjson", lambda spark, path: spark.read.schema(WRITTEN).json(path))
 
 
-@query("SELECT (o_orderkey % 3)::bigint AS f, lpad(o_orderkey::varchar, 10, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS \"date\", o_totalprice::decimal(38,2) AS amount FROM orders")
-def framed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a third of the orders each, from three files."""
-    path = folder(spark)
+def frame_writer(path: str):
+    """Writes r as a frame of the file f, for mapInArrow."""
 
     def write(batches):
         import struct
@@ -386,9 +403,16 @@ def framed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.close()
         yield RecordBatch.from_arrays([array([len(open_files)])], names=["n"])
 
+    return write
+
+
+@query("SELECT (o_orderkey % 3)::bigint AS f, lpad(o_orderkey::varchar, 10, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS \"date\", o_totalprice::decimal(38,2) AS amount FROM orders")
+def framed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a third of the orders each, from three files."""
+    path = folder(spark)
     amount = F.lpad(cents(), 12, " ")
     rows = table(spark, sf_dir, "orders").select((k() % 3).alias("f"), F.encode(F.concat(F.lpad(k().cast("string"), 10, "0"), day(), amount), "ISO-8859-1").alias("r"))
-    rows.repartition(3, "f").mapInArrow(write, "n bigint").count()
+    rows.repartition(3, "f").mapInArrow(frame_writer(path), "n bigint").count()
     layout = build_layout({"format": "framed", "version": 1, "parser": "length_prefixed_frame", "codepage": "cp1252", "fields": [field("id", 0, 10), field("date", 10, 8, "date"), field("amount", 18, 12, "decimal")]})
     return validate(scan_frames(spark, path), layout).where("ok").select(F.regexp_extract("source", r"(\d)\.frames", 1).cast("bigint").alias("f"), "value.*")
 
@@ -420,3 +444,101 @@ def streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lpad(o_orderkey::varchar, 10, '0') AS id, o_orderdate::date AS \"date\" FROM orders")
 def dates_as_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values_of(validate(order_records(spark, sf_dir), ORDERS, date_as="date")).select("id", "date")
+
+
+def encoded_rows(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
+    """Orders as records of any fixed layout: dates and amounts in its typed fields, the key in the others."""
+    texts = []
+    for f in layout.fields:
+        whole = {"date": day(), "decimal": F.lpad(cents(), f.length, " ")}.get(f.type, F.rpad(k().cast("string"), f.length, " "))
+        texts.append((f.start, codepage.encode(F.substring(whole, 1, f.length), f.codepage or layout.codepage)))
+    return from_frame(table(spark, sf_dir, "orders").select(k(), F.concat(*(t for _, t in sorted(texts, key=lambda x: x[0]))).alias("r")), "r", "o_orderkey")
+
+
+@query(
+    """SELECT name AS format, count(*) AS n, min(o_orderdate::date)::varchar AS first_day FROM orders,
+  (VALUES ('cobol_fixed'), ('jde_ap'), ('jde_gl'), ('sap_batch'), ('sap_fi_document')) t(name) GROUP BY name"""
+)
+def library_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the library's other layouts, parsed."""
+    out = []
+    for name in ("cobol_fixed", "jde_ap", "jde_gl", "sap_batch", "sap_fi_document"):
+        layout = load_layout(f"{LIBRARY}/{name}.yaml")
+        date = next(f.name for f in layout.fields if f.type == "date")
+        rows = values_of(validate(encoded_rows(spark, sf_dir, layout), layout))
+        out.append(rows.agg(F.lit(name).alias("format"), F.count("*").alias("n"), F.min(date).alias("first_day")))
+    return reduce(DataFrame.unionAll, out)
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (NOT {BAD}) AS ok, count(*) FILTER ({BAD}) AS errors, sum(o_totalprice::decimal(38,2)) FILTER (NOT {BAD}) AS written FROM orders")
+def convert_to_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts come from the job that writes; the total is that of the rows written."""
+    path, out = folder(spark), folder(spark)
+    damaged(spark, sf_dir).select(F.col("record").cast("string").alias("value")).write.text(path)
+    report = convert_distributed(spark, path, ORDERS, "parquet", out)
+    return spark.read.parquet(out).agg(F.lit(report.total).alias("total"), F.lit(report.ok).alias("ok"), F.lit(report.errors).alias("errors"), F.sum("amount").cast("decimal(38,2)").alias("written"))
+
+
+@query(f"SELECT id, \"type\", \"date\", amount, currency FROM ({ORDER_SQL} WHERE o_orderkey <= 2000 AND NOT {BAD})")
+def json_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ordered JSON file, as the command line writes it."""
+    layout, text = ORDERS, io.StringIO()
+    write_single(validate(damaged(spark, sf_dir).where("line <= 2000"), layout), layout, "json", "-", text)
+    return spark.createDataFrame([(json.dumps(r),) for r in json.loads(text.getvalue())], "value string").select(F.from_json("value", WRITTEN).alias("r")).select("r.id", "r.type", "r.date", F.col("r.amount").cast("decimal(38,2)").alias("amount"), "r.currency")
+
+
+def failing(spark: SparkSession, run) -> DataFrame:
+    """What a run fails with: the line that its error names, or -1 if it does not fail."""
+    try:
+        run()
+    except Exception as e:  # noqa: BLE001  the failure is the result
+        found = re.search(r"line (\d+): ([a-z]+)", str(e))
+        return spark.createDataFrame([(int(found[1]), found[2])] if found else [(0, str(e)[:200])], "line bigint, what string")
+    return spark.createDataFrame([(-1, "nothing")], "line bigint, what string")
+
+
+@query("SELECT 777::bigint AS line, 'undecodable' AS what")
+def abort_at_undecodable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.overlay("record", F.unhex(F.lit("81")), 13, 1)
+    records = order_records(spark, sf_dir).withColumn("record", F.when(F.col("line") == 777, bad).otherwise(F.col("record")))
+    return failing(spark, lambda: values_of(validate(records, fixed(*ORDER_FIELDS, page="cp1252"))).write.format("noop").mode("overwrite").save())
+
+
+@query("SELECT 5::bigint AS line, 'field' AS what UNION ALL SELECT 5, 'field'")
+def on_error_raise_and_lazily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose fifth line has month 13, read by both ways that fail."""
+    path = folder(spark)
+    rows = order_records(spark, sf_dir).orderBy("line").limit(9).coalesce(1)
+    bad = F.overlay("record", F.encode(F.lit("13"), "UTF-8"), 30, 2)
+    rows.select(F.when(F.monotonically_increasing_id() == 4, bad).otherwise(F.col("record")).cast("string").alias("value")).write.text(path)
+    now = failing(spark, lambda: read_flat(spark, path, ORDERS))
+    return now.unionAll(failing(spark, lambda: read_flat(spark, path, ORDERS, on_error="fail_lazily").collect()))
+
+
+@query("SELECT 'jde_ar.yaml' AS path, 75::bigint AS score, count(*) AS n FROM orders")
+def detect_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file without a named layout: it is detected from the file's head and then read whole."""
+    path = folder(spark)
+    order_records(spark, sf_dir, width=8).select(F.col("record").cast("string").alias("value")).coalesce(1).write.text(path)
+    found = detect(spark, path)
+    return read_flat(spark, path).agg(F.lit(found.path.rsplit("/", 1)[-1]).alias("path"), F.lit(found.score).cast("bigint").alias("score"), F.count("*").alias("n"))
+
+
+@query("SELECT 'rule ''sum:amount'': total ' || sum(o_totalprice::decimal(38,2)) || ' != expected 1' AS message FROM orders")
+def check_rules_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = with_rules({"type": "sum", "field": "amount", "expected": 1})
+    rows = values_of(validate(order_records(spark, sf_dir), layout))
+    return spark.createDataFrame([(v.message,) for v in rule_ops.check_rules(rows, layout)], "message string")
+
+
+FRAMED = load_layout(f"{EXAMPLES}/framed.yaml")
+
+
+@query("SELECT lpad((o_orderkey % 10000)::varchar, 4, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS \"date\", (((o_totalprice::decimal(38,2) * 100)::bigint % 100000000) * 0.01)::decimal(38,2) AS amt FROM orders")
+def framed_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example layout of frames, by its parser's name."""
+    path = folder(spark)
+    amount = F.lpad((cents().cast("bigint") % 100_000_000).cast("string"), 8, " ")
+    rows = table(spark, sf_dir, "orders").select(F.lit(0).alias("f"), F.encode(F.concat(F.lpad((k() % 10_000).cast("string"), 4, "0"), day(), amount), "ISO-8859-1").alias("r"))
+    rows.repartition(1).mapInArrow(frame_writer(path), "n bigint").count()
+    return values_of(validate(scan(spark, path, FRAMED), FRAMED))

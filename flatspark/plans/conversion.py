@@ -9,10 +9,10 @@ from typing import TextIO
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from flatspark.operators.rules import Report, check
+from flatspark.operators.rules import Report, check, judge, observed
 from flatspark.operators.validate import diagnostics, rejects, validate
 from flatspark.plans.layout import Layout
-from flatspark.sinks.text import TEXT, sql_head, write_single
+from flatspark.sinks.text import TEXT, sql_head, write_distributed, write_single
 from flatspark.sources.flat import scan
 from flatspark.sources.framed import PLUGINS
 
@@ -43,3 +43,10 @@ def convert(spark: SparkSession, source: str, layout: Layout, fmt: str, output:
     elif output is not None:
         write_single(validated, layout, fmt, output)
     return Conversion(report, validated)
+
+
+def convert_distributed(spark: SparkSession, source: str | list[str], layout: Layout, fmt: str, folder: str, plugins_dir: str = PLUGINS, mode: str = "errorifexists") -> Report:
+    """Converts files of any size into a folder of part files; counts and totals come from the job that writes."""
+    validated, seen = observed(validate(scan(spark, source, layout, plugins_dir), layout), layout)
+    write_distributed(validated, layout, fmt, folder, mode)
+    return judge(layout, seen.get)

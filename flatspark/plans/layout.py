@@ -15,6 +15,7 @@ from flatspark.functions.codepage import SUPPORTED, canonical
 TYPES = ("string", "date", "decimal")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 LIBRARY = str(Path(__file__).with_name("library"))
+EXAMPLES = str(Path(__file__).with_name("examples"))
 
 
 class LayoutError(ValueError):

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flatspark.plans.layout import LayoutError, load_layout
 
+#: Fixed text: the columns of a printed listing.
+HEAD = "format                version   len   table             fields source"
 COLUMNS = "format string, version string, len string, table string, n_fields int, source string, duplicate_of string, error string"
 
 
@@ -29,3 +31,10 @@ def entries(folder: str) -> list[tuple]:
 def registry(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each layout of a folder; ``error`` says why one is invalid."""
     return spark.createDataFrame(entries(folder), COLUMNS)
+
+
+def listing(table: DataFrame) -> DataFrame:
+    """source, the text of each valid layout under ``HEAD``, and a note on invalid and repeated ones."""
+    note = "CASE WHEN error IS NOT NULL THEN concat('INVALID ', source, ': ', error) WHEN duplicate_of IS NOT NULL THEN concat('duplicate ', format, '@', version, ' (also ', duplicate_of, ')') END"
+    row = "concat(rpad(format, greatest(22, length(format)), ' '), rpad(version, greatest(10, length(version)), ' '), rpad(len, greatest(6, length(len)), ' '), rpad(table, greatest(18, length(table)), ' '), rpad(CAST(n_fields AS string), 7, ' '), source)"
+    return table.selectExpr("source", f"CASE WHEN error IS NULL THEN {row} END AS text", f"{note} AS note", "error IS NOT NULL AS invalid").orderBy("source")

@@ -1,6 +1,8 @@
 """Binary files of length-prefixed frames, and plugin readers.
 
-A file is read whole by one task (Spark's binary source), as its frames can only be found in order.
+A file is read by one task, as its frames can only be found in order, a few frames at a time. Files of up
+to ``WHOLE`` bytes come through Spark's binary source, which reads any store that Spark knows; larger
+ones, which no cell can hold, are opened by the task as streams.
 A plugin is a Python module with a class ``Reader(layout, path)`` whose ``records(skip_first)`` yields
 (line, bytes); its source text is sent to the executors.
 """
@@ -8,18 +10,21 @@ A plugin is a Python module with a class ``Reader(layout, path)`` whose ``record
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flatspark.sources.lines import RECORD_FRAME
 
 PLUGINS = os.path.join(os.path.dirname(__file__), "plugins")
 BUILT_IN = "length_prefixed_frame"
+#: Bytes of a file that comes in one cell.
+WHOLE = 1 << 28
 
 
 class PluginError(ValueError):
@@ -37,14 +42,14 @@ def discover(folder: str = PLUGINS) -> list[Plugin]:
     return [Plugin(n.removesuffix(".py"), os.path.join(folder, n)) for n in names if n.endswith(".py") and n[0] != "_"]
 
 
-def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(ordinal, payload) of frames: two bytes of length, highest first, and as many bytes."""
+def frames(data: BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """(ordinal, payload) of a stream's frames: two bytes of length, highest first, and as many bytes."""
     at = number = 0
-    while at < len(data):
-        if at + 2 > len(data):
+    while head := data.read(2):
+        if len(head) < 2:
             raise ValueError(f"truncated length header at offset {at}")
-        (size,) = struct.unpack_from(">H", data, at)
-        payload = data[at + 2 : at + 2 + size]
+        size = int.from_bytes(head, "big")
+        payload = data.read(size)
         if len(payload) < size:
             raise ValueError(f"truncated frame: expected {size} bytes, got {len(payload)}")
         at, number = at + 2 + size, number + 1
@@ -65,12 +70,25 @@ def _batches(source: str, records, size: int = 10_000):
 
 
 def scan_frames(spark: SparkSession, path: str | list[str], skip_first: bool = False) -> DataFrame:
+    limit = WHOLE
+
+    def opened(batch):
+        if "content" in batch.schema.names:
+            yield from ((p, pa.BufferReader(c.as_buffer())) for p, c in zip(batch.column("path").to_pylist(), batch.column("content")))
+        else:
+            for p in batch.column("path").to_pylist():
+                store, name = pafs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                with store.open_input_stream(name, buffer_size=1 << 20) as stream:
+                    yield p, stream
+
     def run(batches):
         for batch in batches:
-            for source, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                yield from _batches(source, (f for f in frames(content.as_py()) if not (skip_first and f[0] == 1)))
+            for source, stream in opened(batch):
+                yield from _batches(source, (f for f in frames(stream) if not (skip_first and f[0] == 1)))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD_FRAME)
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= limit).select("path", "content").mapInArrow(run, RECORD_FRAME)
+    return small.unionAll(files.where(F.col("length") > limit).select("path").mapInArrow(run, RECORD_FRAME))
 
 
 def load_reader(name: str, folder: str = PLUGINS) -> str:

@@ -2,16 +2,20 @@
 
 A record frame has ``source`` (string), ``line`` (1-based, blank lines counted) and ``record`` (binary,
 without its line end). Files are split freely: a first pass counts the lines of each split, which gives
-each split's first line number; this table has a row for each split, and is broadcast only while it has
-fewer than ``SMALL`` of them.
+each split's first line number, and a second one reads the records. The table of splits is written once
+(a checkpoint) and joined as a broadcast while it has fewer than ``SMALL`` rows, some 100 MB. Both passes
+read the same splits, cut when the frame is made: settings or executors that change in between do not
+cut the files anew.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL = 100_000
+SMALL = 1_000_000
 RECORD_FRAME = "source string, line bigint, record binary"
 
 
@@ -27,15 +31,39 @@ def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _cut_now(raw: DataFrame) -> DataFrame:
+    """The same rows with the splits that the session's settings give now; nothing is read."""
+    spark = raw.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(raw._jdf.queryExecution().toRdd(), raw._jdf.schema(), False), spark)
+
+
+def first_lines(spark: SparkSession, path: str, n: int, filled: bool) -> list[bytes]:
+    """The first lines (``filled``: that are not blank) of one file; splits beyond those needed are not read."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(trimmed(F.col("value").cast("binary")).alias("record"))
+    return [bytes(r.record) for r in (raw.where(F.length("record") > 0) if filled else raw).take(n)]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint directory, which all executors and the driver share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flatspark-"))
+    return context.getCheckpointDir()
+
+
 def scan_lines(spark: SparkSession, path: str | list[str], skip_first: bool = False) -> DataFrame:
     """Non-blank lines of one or more files; ``skip_first`` leaves out the first of each file."""
-    raw = _raw(spark, path)
+    shared_folder(spark)
+    raw = _cut_now(_raw(spark, path))
     filled = F.length(trimmed(F.col("raw"))) > 0
     splits = raw.groupBy("source", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.min(F.when(filled, F.col("id"))).alias("filled_id"))
     file = Window.partitionBy("source").orderBy("block")
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     splits = splits.withColumn("header", F.min(F.col("before") + F.col("filled_id") - F.col("first_id") + 1).over(Window.partitionBy("source")))
-    splits = splits.select("source", "block", "first_id", "before", "header")
+    splits = splits.select("source", "block", "first_id", "before", "header").checkpoint()
     if splits.count() < SMALL:
         splits = F.broadcast(splits)
     lines = raw.join(splits, ["source", "block"]).select("source", (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line"), trimmed(F.col("raw")).alias("record"), "header")

@@ -11,14 +11,15 @@ import yaml
 
 from flatspark import cli
 from flatspark.operators.detect import detect
-from flatspark.operators.infer import infer_layout, infer_lines
+from flatspark.operators.infer import infer_frame, infer_layout
 from flatspark.operators.rules import check
 from flatspark.operators.validate import rejects, validate, values_of
 from flatspark.plans.layout import LIBRARY, LayoutError, build_layout
 from flatspark.sinks.text import write_single
 from flatspark.sources.flat import InvalidRecords, read_flat, scan
+from flatspark.sources import framed
 from flatspark.sources.framed import frames, scan_frames
-from flatspark.sources.lines import scan_lines
+from flatspark.sources.lines import first_lines, scan_lines
 
 AR = f"{LIBRARY}/jde_ar.yaml"
 
@@ -127,7 +128,7 @@ def test_frames(spark, tmp_path):
     assert [(r.line, bytes(r.record)) for r in scan_frames(spark, str(tmp_path / "g")).orderBy("line").collect()] == [(1, b"ab"), (3, b"xyz")]
     for cut in (good[:-1], good + b"\x00"):
         with pytest.raises(ValueError, match="truncated"):
-            list(frames(cut))
+            list(frames(io.BytesIO(cut)))
 
 
 def test_detection(spark, tmp_path, ar_file):
@@ -143,7 +144,206 @@ def test_inference(spark, tmp_path):
     assert got["has_header"] and build_layout(got).delimiter == ","
     for lines in ([], ["single"], ["a,b", "c"]):
         with pytest.raises(ValueError):
-            infer_lines(lines, "f")
+            infer_frame(spark.createDataFrame(list(enumerate(lines)), "n bigint, text string"), "f")
+
+
+@pytest.mark.parametrize(
+    "text,delimiter,header,fields",
+    [
+        ("a;b\n1;x\n", ";", True, [("a", "decimal", 0), ("b", "string", None)]),
+        ("1;x\n2;y\n", ";", False, [("column_0", "decimal", 0), ("column_1", "string", None)]),
+        ("n,nan\n1.5-,inf\n", ",", False, [("column_0", "string", None), ("column_1", "decimal", 0)]),
+        ("k\tK\n1\t2\n", "\t", False, [("column_0", "string", None), ("column_1", "string", None)]),
+        ("a|b|c\n1.25|20250230|\n.5|20250228|\n", "|", True, [("a", "decimal", 2), ("b", "decimal", 0), ("c", "string", None)]),
+        ("x, \n1,2\n", ",", False, [("column_0", "string", None), ("column_1", "decimal", 0)]),
+        ("d,v\n20250101,1_000\n20250102, 7 \n", ",", True, [("d", "date", None), ("v", "decimal", 0)]),
+    ],
+)
+def test_inferred_columns(spark, tmp_path, text, delimiter, header, fields):
+    (tmp_path / "f").write_text(text)
+    for sample in (50, None):
+        got = infer_layout(spark, str(tmp_path / "f"), sample_lines=sample)
+        assert (got["delimiter"], got["has_header"]) == (delimiter, header)
+        assert [(f["name"], f["type"], f.get("scale")) for f in got["fields"]] == fields
+
+
+def test_heads_read_one_split(spark, tmp_path):
+    """Detection and inference look at the first lines only, in one task however large the file is."""
+    (tmp_path / "big").write_bytes((ar(1) + b"\n") * 20_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.sparkContext.setJobGroup("head", "head")
+    try:
+        assert spark.read.text(str(tmp_path / "big")).rdd.getNumPartitions() > 8
+        assert len(first_lines(spark, str(tmp_path / "big"), 5, True)) == 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.sparkContext.setJobGroup("", "")
+    seen = spark.sparkContext.statusTracker()
+    stages = [i for job in seen.getJobIdsForGroup("head") for i in seen.getJobInfo(job).stageIds]
+    assert [seen.getStageInfo(i).numTasks for i in stages] == [1]
+
+
+def test_scan_reads_files_twice_and_keeps_its_splits(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"".join(b"%d\n" % i for i in range(1, 20_001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.sparkContext.setJobGroup("scan", "scan")
+    try:
+        lines = scan_lines(spark, str(tmp_path / "f"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    splits = lines.rdd.getNumPartitions()
+    assert splits > 8
+    assert lines.where("CAST(record AS string) = CAST(line AS string)").count() == 20_000
+    spark.sparkContext.setJobGroup("", "")
+    seen = spark.sparkContext.statusTracker()
+    tasks = [seen.getStageInfo(i).numTasks for job in seen.getJobIdsForGroup("scan") for i in seen.getJobInfo(job).stageIds if seen.getStageInfo(i) and seen.getStageInfo(i).numCompletedTasks]
+    assert tasks.count(splits) == 2  # one pass for the counts, one for the rows
+
+
+def test_texts_are_computed_once(spark):
+    lay = layout([field("a", 0, 10), field("d", 10, 8, "date", format="YYYYMMDD"), field("n", 18, 9, "decimal", scale=2), field("m", 27, 9, "decimal", scale=2), field("c", 36, 3)], record_length=39, codepage="cp850")
+    records = spark.createDataFrame([("s", 1, b"x" * 39)], "source string, line bigint, record binary")
+    plan = values_of(validate(records, lay))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 1 and plan.count("trim(") <= 4 * 5 and len(plan) < 20_000
+
+
+def test_frames_of_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    (tmp_path / "g").write_bytes(b"".join(struct.pack(">H", 3) + b"abc" for _ in range(500)))
+    whole = scan_frames(spark, str(tmp_path / "g")).orderBy("line").collect()
+    monkeypatch.setattr(framed, "WHOLE", 100)
+    streamed = scan_frames(spark, str(tmp_path / "g")).orderBy("line").collect()
+    assert [(r.line, r.record) for r in whole] == [(r.line, r.record) for r in streamed] and len(whole) == 500
+
+
+PLUGIN = """
+class Reader:
+    def __init__(self, layout, path):
+        self.path = path
+
+    def records(self, skip_first=False):
+        with open(self.path, "rb") as f:
+            for n, part in enumerate(f.read().split(b"#"), 1):
+                if not (skip_first and n == 1):
+                    yield n, part
+"""
+
+
+def test_plugins(spark, tmp_path, capsys):
+    folder = tmp_path / "plugins"
+    folder.mkdir()
+    (folder / "hashes.py").write_text(PLUGIN)
+    (folder / "_hidden.py").write_text("")
+    (folder / "empty.py").write_text("x = 1")
+    assert [p.name for p in framed.discover(str(folder))] == ["empty", "hashes"]
+    with pytest.raises(framed.PluginError, match="not found"):
+        framed.load_reader("none", str(folder))
+    with pytest.raises(framed.PluginError, match="Reader"):
+        framed.load_reader("empty", str(folder))
+    lay = layout([field("a", 0, 2)], parser="hashes")
+    (tmp_path / "f").write_bytes(b"ab##cd")
+    got = scan(spark, str(tmp_path / "f"), lay, str(folder)).orderBy("line").collect()
+    assert [(r.line, bytes(r.record)) for r in got] == [(1, b"ab"), (3, b"cd")]
+    assert [r.a for r in read_flat(spark, str(tmp_path / "f"), lay, plugins_dir=str(folder)).collect()] == ["ab", "cd"]
+    (tmp_path / "p.yaml").write_text(yaml.safe_dump({"format": "x", "version": "1", "parser": "nowhere", "fields": [field("a", 0, 2)]}))
+    assert cli.main(["--schema", str(tmp_path / "p.yaml"), "--input", str(tmp_path / "f"), "--output", str(tmp_path / "o"), "--plugins-dir", str(folder)]) == cli.ERROR
+    assert "plugin error" in capsys.readouterr().err
+
+
+def test_generate_schema_command(spark, tmp_path, capsys):
+    (tmp_path / "f.csv").write_text("id,amount\nA,1.5\nB,2\n")
+    out = tmp_path / "s.yaml"
+    assert cli.main(["generate-schema", str(tmp_path / "f.csv"), "--output", str(out), "--name", "t"]) == cli.OK
+    made = yaml.safe_load(out.read_text())
+    assert made["table"] == "t" and made["has_header"] and [f["type"] for f in made["fields"]] == ["string", "decimal"]
+    assert cli.main(["--schema", str(out), "--input", str(tmp_path / "f.csv"), "--output", str(tmp_path / "o.json")]) == cli.OK
+    assert json.load(open(tmp_path / "o.json")) == [{"id": "A", "amount": 1.5}, {"id": "B", "amount": 0.2}]
+    assert cli.main(["generate-schema", str(tmp_path / "f.csv"), "--output", str(out), "--no-header"]) == cli.OK
+    assert [f["name"] for f in yaml.safe_load(out.read_text())["fields"]] == ["column_0", "column_1"]
+    (tmp_path / "free").write_text("no delimiter here\n")
+    assert cli.main(["generate-schema", str(tmp_path / "free"), "--output", str(out)]) == cli.ERROR
+    assert "generate-schema error" in capsys.readouterr().err
+
+
+def test_registry_command(spark, tmp_path, capsys):
+    assert cli.main(["registry", str(tmp_path)]) == cli.ERROR
+    text = open(AR).read()
+    (tmp_path / "a.yaml").write_text(text)
+    (tmp_path / "b.yaml").write_text(text)
+    assert cli.main(["registry", str(tmp_path)]) == cli.OK
+    said = capsys.readouterr()
+    assert "duplicate jde_fixed_width@1.0.0" in said.err and said.out.splitlines()[0].split() == ["format", "version", "len", "table", "fields", "source"] and len(said.out.splitlines()) == 3
+    (tmp_path / "c.yaml").write_text("format: x\n")
+    assert cli.main(["registry", str(tmp_path)]) == cli.SCHEMA
+    assert "INVALID" in capsys.readouterr().err
+
+
+def test_web(spark, tmp_path, ar_file):
+    from http.server import ThreadingHTTPServer
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+    import threading
+
+    from flatspark.web import Handler
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def ask(path, **body):
+        try:
+            with urlopen(Request(at + path, json.dumps(body).encode())) as got:
+                return got.status, json.load(got)
+        except HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert b"<h1>" in urlopen(at).read()
+        (tmp_path / "f.csv").write_text("id;n\na;1\n")
+        status, made = ask("/api/generate", input=str(tmp_path / "f.csv"))
+        assert status == 200 and made["delimiter"] == ";" and made["has_header"]
+        status, done = ask("/api/convert", input=str(tmp_path / "f.csv"), schema=made["schema"], format="json")
+        assert status == 200 and done["exit_code"] == cli.OK and done["preview"] == [{"id": "a", "n": 1.0}]
+        status, done = ask("/api/convert", input=ar_file, schema=open(AR).read(), format="csv")
+        assert done["exit_code"] == cli.VALIDATION and "line 3" in done["stderr"]
+        assert ask("/api/convert", input=ar_file, schema="format: x")[1]["exit_code"] == cli.SCHEMA
+        assert ask("/api/convert", input="/no/such")[0] == 400
+        assert ask("/api/none")[0] == 404
+    finally:
+        server.shutdown()
+
+
+def test_distributed_conversion(spark, tmp_path, ar_file):
+    from flatspark.plans.conversion import convert_distributed
+    from flatspark.plans.layout import load_layout
+
+    report = convert_distributed(spark, ar_file, load_layout(AR), "ndjson", f"file://{tmp_path}/out")
+    assert (report.total, report.ok, report.errors) == (4, 2, 2)
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 2
+
+
+def test_audit_digests(tmp_path):
+    import hashlib
+
+    from flatspark.audit import sha256_of
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a").write_bytes(b"1")
+    (tmp_path / "d" / "b").write_bytes(b"2")
+    (tmp_path / "d" / "_SUCCESS").write_bytes(b"3")
+    assert sha256_of(str(tmp_path / "d")) == sha256_of(f"file://{tmp_path}/d") == hashlib.sha256(b"12").hexdigest()
+    with pytest.raises(OSError):
+        sha256_of(str(tmp_path / "none"))
+
+
+def test_exit_code_of_a_batch(spark, tmp_path):
+    (tmp_path / "1.txt").write_bytes(ar(1) + b"\n")
+    (tmp_path / "2.txt").write_bytes(b"short\n")
+    args = ["--input", str(tmp_path / "*.txt"), "--output", "x", "--output-dir", str(tmp_path)]
+    assert cli.main(["--schema", AR, *args]) == cli.VALIDATION
+    assert cli.main(args) == cli.ERROR  # the second file has no layout
+    assert cli.main(["--schema", AR, *args[:4]]) == cli.ERROR
 
 
 @pytest.mark.parametrize("fmt", ["json", "csv", "ndjson", "sql", "singer", "excel", "parquet"])

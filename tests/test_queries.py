@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__
 from flatspark.plans import catalogue
 
-CHOSEN = ["fixed_parse_ok", "fixed_rejects", "implied_vs_explicit_scale", "undecodable_records", "delimited_extra_column", "line_numbers", "on_error_ignore", "detect_layout", "sql_insert_statements", "framed_parse", "registry_listing", "streaming_parse"]
+CHOSEN = ["fixed_parse_ok", "fixed_rejects", "implied_vs_explicit_scale", "undecodable_records", "delimited_extra_column", "line_numbers", "on_error_ignore", "detect_layout", "infer_schema", "infer_schema_whole_file", "library_layouts", "convert_to_folder", "abort_at_undecodable", "on_error_raise_and_lazily", "framed_example", "sql_insert_statements", "framed_parse", "registry_listing", "streaming_parse"]
 
 
 def plain(value):
