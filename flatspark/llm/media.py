@@ -1,17 +1,17 @@
 """Media columns: texts as lossless WebP images, and what is computed from their pixels.
 
-A payload is the UTF-8 bytes of a text with zero bytes up to a positive multiple of 64. Four bytes make
-a pixel (blue, green, red, alpha); rows have 16 pixels, or as many times 16 as keep the height within
-the format's 16,384, the last row filled with zeros. ``to_media`` writes files, ``pixels_of`` decodes
-files of any kind to arrays, ``features`` joins both. Files are written with one code of 8 bits in each
-channel, so writing and reading them is a few array operations; the decoder also takes all other
-lossless files (webp.py).
+A payload is the UTF-8 bytes of a text with zero bytes up to a positive multiple of 64. A byte makes a
+grey pixel; rows have 64 pixels, or as many times 64 as keep the height within the format's 16,384, the
+last row filled with zeros. ``to_media`` writes files, ``pixels_of`` decodes files of any kind to arrays,
+``features`` joins both. Each file has prefix codes of its own. Texts of few values get a palette with
+several pixels in one; of the others a third each has back-references after the subtraction of green, a
+predictor and a colour cache, and the cross-colour transform with references and cache (webp.py).
 
 Texts pass one after another, in slices of about a megabyte; nothing is shuffled or gathered.
 
 Defined results: a null or empty text has 64 zero bytes as its payload; equal texts have equal values;
 repeated rows give repeated results; bytes that are no lossless WebP give null pixels; a text over the
-format's limit of 1 GiB fails; an empty table gives an empty result; other columns do not matter.
+format's limit of 256 MiB fails; an empty table gives an empty result; other columns do not matter.
 """
 
 import hashlib
@@ -24,43 +24,48 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table
 from .textops import slices, text_buffer
-from .webp import FormatError, channels, decode, encode_even
+from .webp import FormatError, channels, decode, encode_grey
 
 UNIT = 64
-WIDTH = UNIT // 4
 TALLEST = 1 << 14
-
-
-def image_of(text: bytes) -> np.ndarray:
-    rows = max(1, -(-len(text) // UNIT))
-    wide = -(-rows // TALLEST)
-    height = -(-rows // wide)
-    payload = np.zeros(height * wide * UNIT, dtype=np.uint8)
-    payload[: len(text)] = np.frombuffer(text, dtype=np.uint8)
-    return payload.view("<u4").reshape(height, wide * WIDTH)
+#: Bytes of texts that are written together, about.
+WRITTEN = 1 << 18
 
 
 def payload_size(n_bytes: int) -> int:
     return max(1, -(-n_bytes // UNIT)) * UNIT
 
 
+def shape(n_bytes: int) -> tuple[int, int]:
+    """Height and width of the image of a text."""
+    rows = payload_size(n_bytes) // UNIT
+    wide = -(-rows // TALLEST)
+    if wide * UNIT > TALLEST:
+        raise ValueError(f"a text of {n_bytes} bytes is over the limit of the format")
+    return -(-rows // wide), wide * UNIT
+
+
 def write_media(batches):
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        for lo, hi in slices(offsets):
-            own = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(t) for t in own], pa.int64()), pa.array([encode_even(image_of(t)) for t in own], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for lo, hi in slices(offsets, WRITTEN):
+            sizes = np.diff(offsets[lo : hi + 1])
+            shapes = [shape(n) for n in sizes.tolist()]
+            bounds = np.concatenate([[0], np.cumsum([h * w for h, w in shapes], dtype=np.int64)])
+            padded = np.zeros(bounds[-1], dtype=np.uint8)
+            padded[np.arange(offsets[hi] - offsets[lo]) + np.repeat(bounds[:-1] - (offsets[lo:hi] - offsets[lo]), sizes)] = data[offsets[lo] : offsets[hi]]
+            files = encode_grey(padded, bounds, [w for _, w in shapes])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def read_features(batches):
-    seen: dict = {}
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
         out: list[list] = [[] for _ in names[2:]]
         for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media")):
             media = media.as_py()
-            pixels = decode(media, seen)
-            payload = channels(pixels).reshape(-1)[: payload_size(n)]
+            pixels = decode(media)
+            payload = channels(pixels)[..., 1].reshape(-1)[: payload_size(n)]
             raw = payload.tobytes()
             sums = payload.reshape(-1, 4).sum(axis=0, dtype=np.int64).tolist()
             row = len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f"{pixels.shape[1]}x{pixels.shape[0]}:" + ",".join(map(str, sums)) + f":{int(payload.max())}"

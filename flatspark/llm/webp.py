@@ -2,11 +2,16 @@
 
 The decoder reads prefix codes and groups of them, literals, back-references and the colour cache, and
 inverts the predictor, cross-colour, subtract-green and palette transforms. Pixels are 32-bit ARGB
-numbers in a (height, width) array. Codes whose symbols all have one length are read at once by numpy;
-all others, and back-references and cache symbols, symbol by symbol.
+numbers in a (height, width) array. Prefix codes are read symbol by symbol; where only the green channel
+varies, which is so for grey images after the right transforms, a symbol is one step of a short loop.
+
+``encode`` writes any image. ``encode_grey`` writes many byte strings as grey images at once: symbols,
+back-references, cache hits and bits of all of them come from array operations; the prefix codes are
+those of each image alone.
 """
 
-import heapq
+import functools
+import zlib
 
 import numpy as np
 
@@ -32,6 +37,10 @@ class FormatError(ValueError):
     """Bytes that are no valid lossless image."""
 
 
+#: A walk over symbols takes 2 to this power of them in a step.
+JUMPS = 5
+
+
 class Bits:
     """Reads numbers from the lowest bit on."""
 
@@ -52,85 +61,114 @@ class Bits:
 
 
 class Code:
-    """A prefix code by its lengths. ``width``: the one length of all symbols, if there is one."""
+    """A prefix code by its lengths. ``array``: by the next ``longest`` bits, symbol * 16 + length."""
 
-    def __init__(self, lengths: np.ndarray):
-        lengths = np.asarray(lengths)
-        used = np.flatnonzero(lengths)
-        self.longest, self.width = 0, None
+    def __init__(self, lengths):
+        used = [s for s, n in enumerate(lengths) if n]
+        self.longest, self._table = 0, None
         if len(used) <= 1:
-            self.only = int(used[0]) if len(used) else 0
-            self.width, self.symbols = 0, np.array([self.only])
+            self.only = used[0] if used else 0
+            self.array = np.array([self.only << 4], dtype=np.int32)
             return
         self.only = None
-        self.longest = int(lengths.max())
-        if int(sum(1 << (self.longest - int(n)) for n in lengths[used])) != 1 << self.longest:
+        self.longest = longest = max(lengths)
+        size = 1 << longest
+        if sum(size >> lengths[s] for s in used) != size:
             raise FormatError("a prefix code is not complete")
-        words = canonical(lengths)
-        if int(lengths[used].min()) == self.longest:
-            self.width = self.longest
-            self.symbols = used[np.argsort([words[s] for s in used])]
-        table = [(0, 0)] * (1 << self.longest)
-        for s in used.tolist():
-            n = int(lengths[s])
-            for i in range(mirror(words[s], n), 1 << self.longest, 1 << n):
-                table[i] = (s, n)
-        self.table = table
+        self.array = np.zeros(size, dtype=np.int32)
+        for s, word in canonical(lengths).items():
+            self.array[word :: 1 << lengths[s]] = s << 4 | lengths[s]
+
+    @property
+    def table(self) -> list[int]:
+        if self._table is None:
+            self._table = self.array.tolist()
+        return self._table
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        s, n = self.table[bits.peek(self.longest)]
-        bits.at += n
+        e = self.table[bits.peek(self.longest)]
+        bits.at += e & 15
         if bits.at > bits.n:
             raise FormatError("the data end early")
-        return s
+        return e >> 4
+
+
+@functools.lru_cache(maxsize=4096)
+def small_code(lengths: tuple[int, ...]) -> Code:
+    """The code of the lengths of another code."""
+    return Code(lengths)
+
+
+@functools.lru_cache(maxsize=None)
+def single(symbol: int) -> Code:
+    """The code of one symbol, which takes no bits."""
+    return Code([0] * symbol + [1])
+
+
+#: The bits of a byte in reverse.
+TURNED = [int(f"{b:08b}"[::-1], 2) for b in range(256)]
 
 
 def mirror(word: int, n: int) -> int:
-    return int(format(word, f"0{n}b")[::-1], 2) if n else 0
+    return (TURNED[word & 255] << 8 | TURNED[word >> 8]) >> (16 - n)
 
 
 def canonical(lengths) -> dict[int, int]:
-    """Code word of each used symbol, by length and then symbol."""
+    """Code word (first bit lowest) of each used symbol, by length and then symbol."""
     out, code, before = {}, 0, 0
-    for n, s in sorted((int(n), s) for s, n in enumerate(lengths) if n):
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - before
-        out[s], before = code, n
+        out[s], before = mirror(code, n), n
         code += 1
     return out
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, dtype=np.int64)
+    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= size:
             raise FormatError("a symbol is out of range")
-        lengths[symbols] = 1
+        if not two:
+            return single(symbols[0])
+        for s in symbols:
+            lengths[s] = 1
         return Code(lengths)
     own = [0] * 19
     for i in range(4 + bits.read(4)):
         own[ORDER[i]] = bits.read(3)
-    code = Code(own)
+    code = small_code(tuple(own))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     at, before = 0, 8
+    # All that the lengths may take, at most 14 bits for each.
+    acc, place = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + (size * 14 >> 3) + 2], "little") >> (bits.at & 7), bits.at
+    table, mask = code.table, (1 << code.longest) - 1
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        e = table[acc & mask]
+        acc >>= e & 15
+        place += e & 15
+        s = e >> 4
         if s < 16:
             lengths[at] = s
             before = s or before
             at += 1
             continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+        more = 2 if s == 16 else 3 if s == 17 else 7
+        n = (acc & ((1 << more) - 1)) + (11 if s == 18 else 3)
+        acc >>= more
+        place += more
         if at + n > size:
             raise FormatError("code lengths run over")
-        lengths[at : at + n] = before if s == 16 else 0
+        if s == 16:
+            lengths[at : at + n] = [before] * n
         at += n
+    bits.at = place
+    if place > bits.n:
+        raise FormatError("the data end early")
     return Code(lengths)
 
 
@@ -142,64 +180,112 @@ def number(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool, seen: dict | None = None) -> np.ndarray:
-    """An entropy-coded image. ``seen`` keeps codes by the bytes that gave them."""
-    begin = bits.at
-    for (at, stop, head), kept in (seen or {}).items():
-        if at == (begin, main) and bits.data[begin >> 3 : stop >> 3] == head:
-            cache, codes, tile, step = kept
-            bits.at = stop
-            break
-    else:
-        cache = bits.read(4) if bits.read(1) else 0
-        if cache > 11:
-            raise FormatError("the colour cache is too large")
-        groups, tile, step = 1, None, 0
-        if main and bits.read(1):
-            step = bits.read(3) + 2
-            tile = (read_image(bits, -(-width >> step), -(-height >> step), False) >> 8) & 0xFFFF
-            groups = int(tile.max()) + 1
-        codes = [[read_code(bits, n) for n in (280 + ((1 << cache) if cache else 0), 256, 256, 256, 40)] for _ in range(groups)]
-        # The last whole byte before the pixels: what precedes it is equal if the bytes are.
-        if seen is not None and tile is None and bits.at % 8 == 0:
-            seen[(begin, main), bits.at, bits.data[begin >> 3 : bits.at >> 3]] = cache, codes, tile, step
-    n = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if tile is None and not cache and all(c.width is not None for c in codes[0][:4]) and int(green.symbols.max()) < 256:
-        return read_even(bits, n, codes[0]).reshape(height, width)
-    return read_symbols(bits, width, n, codes, cache, tile, step).reshape(height, width)
-
-
-def read_even(bits: Bits, n: int, codes: list[Code]) -> np.ndarray:
-    """Literals only, each channel of one width: all pixels at once."""
-    widths = [c.width for c in codes[:4]]
-    total = sum(widths)
-    if bits.at + n * total > bits.n:
-        raise FormatError("the data end early")
-    out = np.zeros(n, dtype=np.uint32)
-    if total % 8 == 0 and bits.at % 8 == 0 and all(w in (0, 8) for w in widths):
-        words = MIRROR[np.frombuffer(bits.data, np.uint8, n * total // 8, bits.at >> 3)].reshape(n, -1)
-    else:
-        words = None
-        raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, ((bits.at + n * total + 7) >> 3) - (bits.at >> 3), bits.at >> 3), bitorder="little")
-        raw = raw[bits.at & 7 :][: n * total].reshape(n, total)
-    column = bit = 0
-    for code, shift in zip(codes, (8, 16, 0, 24)):
-        if code.width == 0:
-            index = 0
-        elif words is not None:
-            index, column = words[:, column], column + 1
-        else:
-            index = np.zeros(n, dtype=np.int64)
-            for j in range(code.width):  # a code word has its highest bit first
-                index = index * 2 + raw[:, bit + j]
-            bit += code.width
-        out |= np.uint32(1) * code.symbols.astype(np.uint32)[index] << np.uint32(shift)
-    bits.at += n * total
-    return out
-
-
-MIRROR = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)[:, ::-1], axis=1)[:, 0]
+def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image."""
+    cache = bits.read(4) if bits.read(1) else 0
+    if cache > 11:
+        raise FormatError("the colour cache is too large")
+    groups, tile, step = 1, None, 0
+    if main and bits.read(1):
+        step = bits.read(3) + 2
+        tile = (read_image(bits, -(-width >> step), -(-height >> step), False) >> 8) & 0xFFFF
+        groups = int(tile.max()) + 1
+    codes = [[read_code(bits, n) for n in (280 + ((1 << cache) if cache else 0), 256, 256, 256, 40)] for _ in range(groups)]
+    n, pixels = width * height, None
+    if main and tile is None and codes[0][0].only is None and all(c.only is not None for c in codes[0][1:4]):
+        pixels = read_green(bits, width, n, codes[0], cache)
+    if pixels is None:
+        pixels = read_symbols(bits, width, n, codes, cache, tile, step)
+    return pixels.reshape(height, width)
+
+
+def away(far: int, width: int) -> int:
+    """A distance in pixels from its code."""
+    if far > 120:
+        return far - 120
+    dx, dy = NEAR[far - 1]
+    return max(1, dx + dy * width)
+
+
+def read_green(bits: Bits, width: int, n: int, codes: list[Code], cache: int) -> np.ndarray | None:
+    """The last pixels of a file, where they differ in green only; None (and nothing read) if the cache needs an order.
+
+    What a symbol is and where the next one begins is worked out for every bit at once; a walk from the
+    first bit then meets the symbols. A cache place is known without an order if no two of the file's
+    colours share one.
+    """
+    green, red, blue, alpha, distance = codes
+    base = alpha.only << 24 | red.only << 16 | blue.only
+    start = bits.at >> 3
+    size = len(bits.data) - start
+    raw = np.frombuffer(bits.data[start:] + bytes(16), dtype=np.uint8)
+    words = np.ndarray((size + 8,), "<u8", raw, strides=(1,))
+    near = np.ndarray((size,), "<u4", raw, strides=(1,))[:, None] >> np.arange(8, dtype=np.uint32)
+    index = (near & np.uint32((1 << green.longest) - 1)).astype(np.uint16).ravel()
+    step = (green.array & 15).astype(np.uint8)[index].astype(np.int32)
+
+    def ahead(place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        place = np.minimum(place, 8 * size)
+        return ((words[place >> 3] >> (place & 7).astype(np.uint64)) & ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+    def grown(prefix: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A length or distance, and the bit behind it."""
+        count = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+        return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << count) + ahead(place, count)) + 1, place + count
+
+    symbols_of = green.array >> 4
+    refers = np.flatnonzero(((symbols_of >= 256) & (symbols_of < 280))[index])
+    length, place = grown(symbols_of[index[refers]] - 256, refers + step[refers])
+    far = distance.array[ahead(place, np.full(len(place), distance.longest))]
+    far, place = grown(far >> 4, place + (far & 15))
+    step[refers] = place - refers
+    # The walk takes 2 ** JUMPS symbols at a time; those between are looked up together.
+    end = bits.n - 8 * start
+    step = step[: end + 1] if end < 8 * size else np.append(step, np.int32(0))
+    leaps = [np.minimum(np.arange(end + 1, dtype=np.int32) + step, np.int32(end))]
+    for _ in range(JUMPS):
+        leaps.append(leaps[-1][leaps[-1]])
+    at, path = bits.at & 7, []
+    leap = leaps.pop().item
+    while at < end:
+        path.append(at)
+        at = leap(at)
+    path = np.array(path, dtype=np.int32)
+    for leap in reversed(leaps):
+        path = np.stack([path, leap[path]], axis=1).ravel()
+    path = path[: int(np.searchsorted(path, end))]
+    found = symbols_of[index[path]]
+    many = np.ones(len(path), dtype=np.int64)
+    repeat = np.flatnonzero((found >= 256) & (found < 280))
+    which = np.searchsorted(refers, path[repeat])
+    many[repeat] = length[which]
+    total = np.cumsum(many)
+    last = int(np.searchsorted(total, n))
+    if last == len(total) or total[last] != n or path[last] + step[path[last]] > end:
+        raise FormatError("the data end early, or a back-reference is out of range")
+    found, repeat = found[: last + 1], repeat[repeat <= last]
+    values = found.astype(np.uint8)
+    hits = np.flatnonzero(found >= 280)
+    if len(hits):
+        seen = np.unique(found[found < 256])
+        slots = (MULTIPLIER * (base | seen.astype(np.int64) << 8) & 0xFFFFFFFF) >> (32 - cache)
+        holds = np.full(1 << cache, -1)
+        holds[slots] = seen
+        asked = holds[found[hits] - 280]
+        if len(np.unique(slots)) < len(slots) or (len(asked) and asked.min() < 0):
+            return None
+        values[hits] = asked
+    bits.at = 8 * start + int(path[last] + step[path[last]])
+    if len(repeat):
+        literal, out, before = values.tobytes(), bytearray(), 0
+        for i, size, back in zip(repeat.tolist(), length[which].tolist(), far[which].tolist()):
+            out += literal[before:i]
+            before, done, back = i + 1, len(out), away(back, width)
+            if back > done:
+                raise FormatError("a back-reference is out of range")
+            out += out[done - back : done - back + size] if back >= size else (out[done - back :] * (size // back + 1))[:size]
+        values = np.frombuffer(bytes(out + literal[before:]), dtype=np.uint8)
+    return values.astype(np.uint32) << np.uint32(8) | np.uint32(base)
 
 
 def read_symbols(bits: Bits, width: int, n: int, codes, cache: int, tile, step: int) -> np.ndarray:
@@ -218,12 +304,7 @@ def read_symbols(bits: Bits, width: int, n: int, codes, cache: int, tile, step:
             at += 1
         elif s < 280:
             length = number(bits, s - 256)
-            far = number(bits, group[4].read(bits))
-            if far > 120:
-                far -= 120
-            else:
-                dx, dy = NEAR[far - 1]
-                far = max(1, dx + dy * width)
+            far = away(number(bits, group[4].read(bits)), width)
             if far > at or at + length > n:
                 raise FormatError("a back-reference is out of range")
             for i in range(at, at + length):
@@ -285,6 +366,9 @@ def predicted(mode: int, left, top, top_left, top_right):
 def predict(pixels: np.ndarray, modes: np.ndarray, size: int, invert: bool) -> np.ndarray:
     """Adds the predictions to the residuals, or takes them off the pixels."""
     height, width = pixels.shape
+    kinds = np.unique(np.asarray(modes) & 15)
+    if len(kinds) == 1 and kinds[0] in (0, 1, 2):
+        return summed(pixels, int(kinds[0])) if invert else differences(pixels, int(kinds[0]))
     source = channels(pixels).tolist()
     out = source if invert else channels(pixels).tolist()
     full = out if invert else source
@@ -305,6 +389,41 @@ def predict(pixels: np.ndarray, modes: np.ndarray, size: int, invert: bool) -> n
     return packed(np.array(out, dtype=np.uint8).reshape(height, width, 4))
 
 
+BLACK = np.array([0, 0, 0, 255], dtype=np.uint8)
+
+
+def edged(c: np.ndarray, mode: int, black=np.uint8(0)) -> np.ndarray:
+    """Residuals of one mode for all places: 0 (black), 1 (left) or 2 (top); the edges have modes of their own."""
+    out = c - black
+    if mode == 1:
+        out[1:, 1:] = c[1:, 1:] - c[1:, :-1]
+    elif mode == 2:
+        out[1:, 1:] = c[1:, 1:] - c[:-1, 1:]
+    out[0, 1:] = c[0, 1:] - c[0, :-1]
+    out[1:, 0] = c[1:, 0] - c[:-1, 0]
+    return out
+
+
+def differences(pixels: np.ndarray, mode: int) -> np.ndarray:
+    return packed(edged(channels(pixels), mode, BLACK))
+
+
+def summed(residuals: np.ndarray, mode: int) -> np.ndarray:
+    """The pixels of :func:`differences`."""
+    c = channels(residuals).copy()
+    c[0, 0] += BLACK
+    np.cumsum(c[0], axis=0, dtype=np.uint8, out=c[0])
+    np.cumsum(c[:, 0], axis=0, dtype=np.uint8, out=c[:, 0])
+    if mode == 1:
+        c[1:] = np.cumsum(c[1:], axis=1, dtype=np.uint8)
+        return packed(c)
+    if mode == 2:
+        c[1:, 1:] = np.cumsum(c[:, 1:], axis=0, dtype=np.uint8)[1:]
+        return packed(c)
+    c[1:, 1:] += BLACK
+    return packed(c)
+
+
 def cross(pixels: np.ndarray, elements: np.ndarray, size: int, invert: bool) -> np.ndarray:
     height, width = pixels.shape
     signed = lambda a: a.astype(np.uint8).view(np.int8).astype(np.int64)
@@ -331,7 +450,7 @@ def palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def decode(data: bytes, seen: dict | None = None) -> np.ndarray:
+def decode(data: bytes) -> np.ndarray:
     """The (height, width) pixels of a RIFF file with one VP8L chunk."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise FormatError("not a lossless WebP file")
@@ -356,7 +475,7 @@ def decode(data: bytes, seen: dict | None = None) -> np.ndarray:
             colours = channels(read_image(bits, n, 1, False)[0]).cumsum(axis=0, dtype=np.uint8)
             undo.append((kind, palette_bits(n), packed(colours), inner))
             inner = -(-inner >> palette_bits(n))
-    pixels = read_image(bits, inner, height, True, seen)
+    pixels = read_image(bits, inner, height, True)
     for kind, size, extra, wide in reversed(undo):
         if kind == PREDICTOR:
             pixels = predict(pixels, (extra >> 8) & 255, size, True)
@@ -384,70 +503,100 @@ class Writer:
             self.value >>= 4096
             self.n -= 4096
 
+    def size(self) -> int:
+        return 8 * sum(map(len, self.parts)) + self.n
+
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
-def lengths_of(counts: list[int], most: int = 15) -> list[int]:
-    """Huffman code lengths of at most ``most`` bits."""
+def lengths_of(symbols: list[int], counts: list[int], most: int = 15) -> list[int]:
+    """Huffman code lengths, of at most ``most`` bits, of symbols; the lighter first, of equals the lesser."""
+    n = len(symbols)
+    if n < 2:
+        return [1] * n
     while True:
-        heap = [(c, i, (i,)) for i, c in enumerate(counts) if c]
-        out = [0] * len(counts)
-        if len(heap) == 1:
-            out[heap[0][1]] = 1
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                out[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
-        if max(out, default=0) <= most:
+        leaves = sorted(zip(counts, range(n)))
+        # Leaves and inner nodes both come by growing weight: two queues, no heap.
+        weight, above, leaf, inner = [c for c, _ in leaves], [0] * (2 * n - 1), 0, n
+        for node in range(n, 2 * n - 1):
+            if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                one, leaf = leaf, leaf + 1
+            else:
+                one, inner = inner, inner + 1
+            if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                two, leaf = leaf, leaf + 1
+            else:
+                two, inner = inner, inner + 1
+            above[one] = above[two] = node
+            weight.append(weight[one] + weight[two])
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[above[node]] + 1
+        if max(depth[:n]) <= most:
+            out = [0] * n
+            for (_, i), d in zip(leaves, depth):
+                out[i] = d
             return out
-        counts = [(c + 1) // 2 if c else 0 for c in counts]
+        counts = [(c + 1) // 2 for c in counts]
 
 
-def put_code(w: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Writes a code's lengths; gives the (mirrored word, length) of each symbol."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (not used or used[0] < 256):
-        s = used[0] if used else 0
-        w.put(1, 1)
-        w.put(0, 1)
-        w.put(1, 1)
-        w.put(s, 8)
-        return {s: (0, 0)}
-    w.put(0, 1)
-    tokens, at, before = [], 0, 8
-    while at < len(lengths):
-        n = next((k for k in range(at, len(lengths)) if lengths[k] != lengths[at]), len(lengths)) - at
-        if not lengths[at] and n >= 3:
-            n = min(n, 138)
-            tokens.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-        elif lengths[at] == before and n >= 3:
-            n = min(n, 6)
-            tokens.append((16, n - 3, 2))
-        else:
-            n = 1
-            tokens.append((lengths[at], 0, 0))
-            before = lengths[at] or before
-        at += n
-    counts = [0] * 19
-    for t in tokens:
-        counts[t[0]] += 1
-    own = lengths_of(counts, 7)
-    w.put(15, 4)
+#: The code in which lengths are written: four bits for those to 12, five for the others. Complete.
+OF_LENGTHS = [4] * 13 + [5] * 6
+LENGTH_WORDS = canonical(OF_LENGTHS)
+
+
+def put_code(w: Writer, symbols: list[int], lengths: list[int], size: int) -> list[int]:
+    """Writes the lengths of a code of ascending symbols; gives their words, which are empty if there is but one symbol."""
+    if len(symbols) <= 1 and (not symbols or symbols[0] < 256):
+        w.put(5 | (symbols[0] if symbols else 0) << 3, 11)  # a simple code of one symbol with 8 bits
+        return [0] * len(symbols)
+    acc, n = 15 << 1, 5
     for s in ORDER:
-        w.put(own[s], 3)
-    w.put(0, 1)
-    words = canonical(own)
-    alone = sum(map(bool, own)) == 1
-    for s, extra, n in tokens:
-        if not alone:
-            w.put(mirror(words[s], own[s]), own[s])
-        w.put(extra, n)
-    if len(used) == 1:
-        return {used[0]: (0, 0)}
-    return {s: (mirror(c, lengths[s]), lengths[s]) for s, c in canonical(lengths).items()}
+        acc |= OF_LENGTHS[s] << n
+        n += 3
+    n += 1
+    zero = LENGTH_WORDS[0]
+    before = -1
+    for s, length in zip([*symbols, size], [*lengths, -1]):
+        gap = s - before - 1
+        while gap:
+            if gap < 3:
+                acc |= zero << n
+                n += 4
+                gap -= 1
+            elif gap < 11:
+                acc |= (LENGTH_WORDS[17] | (gap - 3) << 5) << n
+                n += 8
+                gap = 0
+            else:
+                k = min(gap, 138)
+                acc |= (LENGTH_WORDS[18] | (k - 11) << 5) << n
+                n += 12
+                gap -= k
+        before = s
+        if length > 0:
+            acc |= LENGTH_WORDS[length] << n
+            n += OF_LENGTHS[length]
+    w.put(acc, n)
+    if len(symbols) == 1:
+        return [0]
+    words, code, last = [0] * len(symbols), 0, 0
+    for length, i in sorted(zip(lengths, range(len(symbols)))):
+        code <<= length - last
+        words[i], last = mirror(code, length), length
+        code += 1
+    return words
+
+
+def put_counts(w: Writer, counts, most: int = 15) -> tuple[list[int], list[int], list[int]]:
+    """Writes the code of counted symbols; gives the symbols, their words and how many bits these take."""
+    counts = np.asarray(counts)
+    used = np.flatnonzero(counts)
+    symbols = used.tolist()
+    lengths = lengths_of(symbols, counts[used].tolist(), most)
+    words = put_code(w, symbols, lengths, len(counts))
+    return symbols, words, lengths if len(symbols) > 1 else [0] * len(symbols)
 
 
 def prefix(value: int) -> tuple[int, int, int]:
@@ -460,7 +609,7 @@ def prefix(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v & ((1 << (high - 1)) - 1), high - 1
 
 
-def symbols(pixels: np.ndarray, references: bool, cache: int) -> list[tuple]:
+def symbols(pixels: np.ndarray, repeats: bool, cache: int) -> list[tuple]:
     """Literals, (length, distance code) and cache indices of an image."""
     flat = pixels.ravel().tolist()
     width = pixels.shape[1]
@@ -468,7 +617,7 @@ def symbols(pixels: np.ndarray, references: bool, cache: int) -> list[tuple]:
     colours, last, out, at, kept = [0] * (1 << cache), {}, [], 0, 0
     while at < len(flat):
         length, key = 0, tuple(flat[at : at + 3])
-        if references and len(key) == 3:
+        if repeats and len(key) == 3:
             seen = last.get(key)
             if seen is not None:
                 while at + length < len(flat) and length < 4096 and flat[seen + length] == flat[at + length]:
@@ -482,13 +631,13 @@ def symbols(pixels: np.ndarray, references: bool, cache: int) -> list[tuple]:
             length = 1
             slot = (MULTIPLIER * flat[at] & 0xFFFFFFFF) >> (32 - cache) if cache else 0
             out.append((2, slot, 0) if cache and at and colours[slot] == flat[at] else (0, flat[at], 0))
-        for i in range(at, at + length if references else at):
+        for i in range(at, at + length if repeats else at):
             last[tuple(flat[i : i + 3])] = i
         at += length
     return out
 
 
-def put_image(w: Writer, pixels: np.ndarray, main: bool, references: bool = True, cache: int = 0, groups: np.ndarray | None = None, step: int = 2) -> None:
+def put_image(w: Writer, pixels: np.ndarray, main: bool, repeats: bool = True, cache: int = 0, groups: np.ndarray | None = None, step: int = 2) -> None:
     """An entropy-coded image with Huffman codes. ``groups``: the code group of each tile of 2 ** step pixels."""
     w.put(1 if cache else 0, 1)
     if cache:
@@ -502,7 +651,7 @@ def put_image(w: Writer, pixels: np.ndarray, main: bool, references: bool = True
     n_groups = int(groups.max()) + 1 if groups is not None else 1
     counts = [[[0] * n for n in (280 + ((1 << cache) if cache else 0), 256, 256, 256, 40)] for _ in range(n_groups)]
     stream, at = [], 0
-    for kind, a, b in symbols(pixels, references, cache):
+    for kind, a, b in symbols(pixels, repeats, cache):
         g = int(groups[(at // width) >> step, (at % width) >> step]) if groups is not None else 0
         if kind == 0:
             row = [(0, (a >> 8) & 255, 0, 0), (1, (a >> 16) & 255, 0, 0), (2, a & 255, 0, 0), (3, a >> 24, 0, 0)]
@@ -515,7 +664,8 @@ def put_image(w: Writer, pixels: np.ndarray, main: bool, references: bool = True
             counts[g][c][s] += 1
         stream.append((g, row))
         at += a if kind == 1 else 1
-    words = [[put_code(w, lengths_of(c)) for c in group] for group in counts]
+    made = [[put_counts(w, c) for c in group] for group in counts]
+    words = [[{s: (c, n) for s, c, n in zip(*code)} for code in group] for group in made]
     for g, row in stream:
         for c, s, extra, n in row:
             w.put(*words[g][c][s])
@@ -536,7 +686,7 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + (12 + len(chunk)).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + chunk
 
 
-def encode(pixels: np.ndarray, transforms=(), references: bool = True, cache: int = 0, groups: np.ndarray | None = None, step: int = 2) -> bytes:
+def encode(pixels: np.ndarray, transforms=(), repeats: bool = True, cache: int = 0, groups: np.ndarray | None = None, step: int = 2) -> bytes:
     """A compact file. ``transforms``: (PREDICTOR or CROSS, tile bits, elements), (GREEN,) or (PALETTE,), in order."""
     pixels = np.asarray(pixels, dtype=np.uint32)
     w = Writer()
@@ -563,44 +713,177 @@ def encode(pixels: np.ndarray, transforms=(), references: bool = True, cache: in
             for i in range(1 << bits):
                 pixels |= index[:, i :: 1 << bits] << (8 + i * (8 >> bits))
     w.put(0, 1)
-    put_image(w, pixels, True, references, cache, groups, step)
+    put_image(w, pixels, True, repeats, cache, groups, step)
     return riff(w.bytes())
 
 
-def encode_even(pixels: np.ndarray) -> bytes:
-    """A file whose literals have 8 bits in each channel, written at once; no search, no code to fit."""
-    height, width = pixels.shape
+#: Bytes by which repeats are found.
+GRAM = 6
+#: Bytes of a back-reference, at least.
+WORTH = 12
+#: Longest code words that are written, and the colour cache's bits.
+MOST, CACHE = 12, 10
+LONGEST = 4096
+#: What ``encode_grey`` does with an image; the kind follows from its bytes alone.
+KINDS = ("palette", "green and references", "predictor, green and cache", "cross-colour, references and cache")
+
+
+def kind_of(payload: np.ndarray) -> int:
+    """Few values make a palette; other kinds rotate with the checksum, so that a column has files of all."""
+    return 0 if len(payload) <= LONGEST and np.count_nonzero(np.bincount(payload, minlength=256)) <= 16 else 1 + zlib.crc32(payload) % 3
+
+
+def grey(payload: np.ndarray, width: int) -> np.ndarray:
+    return (payload.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)).reshape(-1, width)
+
+
+def references(data: np.ndarray, row: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, int]]:
+    """(position, length, distance) of repeats within a row, in order and apart; ``stop``: the end of each position's row, 0 for none."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return []
+    key = row[:n].astype(np.uint64)
+    for j in range(GRAM):
+        key = key << np.uint64(8) | data[j : j + n]
+    at = np.flatnonzero(np.arange(n) + GRAM <= stop[:n])
+    at = at[np.argsort(key[at], kind="stable")]
+    back = np.zeros(n, dtype=np.int64)
+    same = key[at[1:]] == key[at[:-1]]
+    back[at[1:][same]] = (at[1:] - at[:-1])[same]
+    # Positions in a row with one distance make one long repeat.
+    first = np.flatnonzero(np.diff(back, prepend=0) != 0)
+    last = np.append(first[1:], n)
+    live = (back[first] > 0) & (last - first + GRAM - 1 >= WORTH)
+    out, free = [], 0
+    for begin, end, far in zip(first[live].tolist(), last[live].tolist(), back[first[live]].tolist()):
+        begin, end = max(begin, free), end + GRAM - 1
+        while end - begin >= WORTH:
+            size = min(end - begin, LONGEST)
+            out.append((begin, size, far))
+            begin += size
+            free = begin
+    return out
+
+
+def prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`prefix` of many numbers."""
+    v = value - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
+
+
+@functools.lru_cache(maxsize=1000)
+def even_image(height: int, width: int, colour: int) -> tuple[int, int]:
+    """Bits of an image of one colour, and their number."""
     w = Writer()
-    put_header(w, width, height)
-    w.put(0, 1)
-    head = w.value | EVEN[0] << w.n
-    data = channels(pixels)[..., [1, 2, 0, 3]]
-    return riff(head.to_bytes((w.n + EVEN[1]) >> 3, "little") + MIRROR[data].tobytes())
-
-
-def _even_section() -> tuple[int, int]:
-    """(value, bits) of the code section behind the 33 bits before it; it ends with a whole byte."""
-    for n in range(4, 20):
-        for tail in range(2):
-            w = Writer()
-            w.put(0, 2)
-            for size in (280, 256, 256, 256):
-                put_code(w, [8] * 256 + [0] * (size - 256))
-            if tail:
-                w.put(0b1 | 0 << 1 | 1 << 2, 3)
-                w.put(0, 8)
-            else:
-                # Lengths of the code for lengths: only symbol 1 is used, so each length takes no bit.
-                w.put(0, 1)
-                w.put(n - 4, 4)
-                for s in ORDER[:n]:
-                    w.put(1 if s == 0 else 0, 3)
-                w.put(1, 1)
-                w.put(0, 3)
-                w.put(0, 2)
-            if (33 + w.n) % 8 == 0:
-                return int.from_bytes(w.bytes(), "little"), w.n + 4096 * len(w.parts)
-    raise AssertionError("no padding fits")
-
-
-EVEN = _even_section()
+    put_image(w, np.full((height, width), colour, dtype=np.uint32), False, False)
+    return int.from_bytes(w.bytes(), "little"), w.size()
+
+
+def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> list[bytes]:
+    """A file for each run of bytes between offsets, a grey pixel for each byte."""
+    rows = len(widths)
+    green, files = data.copy(), [b""] * rows
+    kinds, heads = np.zeros(rows, dtype=np.int64), [Writer() for _ in range(rows)]
+    for i in range(rows):
+        payload, width = data[offsets[i] : offsets[i + 1]], widths[i]
+        kinds[i] = kind = kind_of(payload)
+        height = len(payload) // width
+        if kind == 0:
+            files[i] = encode(grey(payload, width), [(PALETTE,)])
+            continue
+        w = heads[i]
+        put_header(w, width, height)
+        if kind == 2:
+            square = payload.reshape(height, width)
+            tries = [edged(square, m) for m in (0, 1, 2)]
+            weight = [float(np.square(np.bincount(x.ravel(), minlength=256), dtype=np.float64).sum()) for x in tries]
+            mode = weight.index(max(weight))
+            w.put(1 | PREDICTOR << 1 | 7 << 3, 6)
+            w.put(*even_image(-(-height >> 9), -(-width >> 9), mode << 8))
+            green[offsets[i] : offsets[i + 1]] = tries[mode].ravel()
+        if kind == 3:
+            # Red and blue less green: a factor of one is 32, for green to red and green to blue.
+            w.put(1 | CROSS << 1 | 7 << 3, 6)
+            w.put(*even_image(-(-height >> 9), -(-width >> 9), 32 << 8 | 32))
+        else:
+            w.put(1 | GREEN << 1, 3)
+        w.put(0, 1)
+        w.put(kind != 1, 1)
+        if kind != 1:
+            w.put(CACHE, 4)
+        w.put(0, 1)
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    kind = kinds[row]
+    token = kind > 0
+    symbol = green.astype(np.int64)
+    # Cache hits: the last pixel of a row in the same place of the cache was the same.
+    alpha = np.array([0, 255, 0, 255])
+    place = ((MULTIPLIER * (alpha[:, None] << 24 | np.arange(256)[None] << 8) & 0xFFFFFFFF) >> (32 - CACHE))
+    cached = np.flatnonzero(kind >= 2)
+    slot = place[kind[cached], green[cached]]
+    order = np.argsort(row[cached] << CACHE | slot, kind="stable")
+    where, near = row[cached][order] << CACHE | slot[order], green[cached][order]
+    hit = np.zeros(len(cached), dtype=bool)
+    hit[order[1:]] = (where[1:] == where[:-1]) & (near[1:] == near[:-1])
+    symbol[cached[hit]] = 280 + slot[hit]
+    repeats = np.array(references(green, row, np.where(kinds % 2 == 1, offsets[1:], 0)[row]), dtype=np.int64).reshape(-1, 3)
+    inside = np.zeros(len(data) + 1, dtype=np.int64)
+    np.add.at(inside, repeats[:, 0], 1)
+    np.add.at(inside, repeats[:, 0] + repeats[:, 1], -1)
+    token &= np.cumsum(inside[:-1]) == 0
+    token[repeats[:, 0]] = True
+    codes = np.zeros(len(data), dtype=np.int64)
+    length, more, bits = prefixes(repeats[:, 1])
+    symbol[repeats[:, 0]] = 256 + length
+    by_width = {width: {dx + dy * width: i + 1 for i, (dx, dy) in reversed(list(enumerate(NEAR))) if dx + dy * width >= 1} for width in set(widths)}
+    codes = np.array([by_width[widths[r]].get(far, far + 120) for r, far in zip(row[repeats[:, 0]].tolist(), repeats[:, 2].tolist())], dtype=np.int64)
+    distance, far_more, far_bits = prefixes(codes)
+
+    def fill(w: Writer, own: np.ndarray, words_to: np.ndarray, wide_to: np.ndarray) -> None:
+        """Writes a code and puts its words and their lengths into arrays."""
+        used, words, lengths = put_counts(w, own, MOST)
+        words_to[used], wide_to[used] = words, lengths
+
+    size = 280 + (1 << CACHE)
+    at = np.flatnonzero(token)
+    counts = np.bincount(row[at] * size + symbol[at], minlength=rows * size).reshape(rows, size)
+    far_counts = np.bincount(row[repeats[:, 0]] * 40 + distance, minlength=rows * 40).reshape(rows, 40)
+    word, wide = np.zeros((rows, size), dtype=np.uint64), np.zeros((rows, size), dtype=np.int64)
+    far_word, far_wide = np.zeros((rows, 40), dtype=np.uint64), np.zeros((rows, 40), dtype=np.int64)
+    for i in np.flatnonzero(kinds).tolist():
+        w = heads[i]
+        fill(w, counts[i, : 280 if kinds[i] == 1 else size], word[i], wide[i])
+        for constant in (0, 0, 0 if kinds[i] == 2 else 255):
+            put_code(w, [constant], [1], 256)
+        fill(w, far_counts[i], far_word[i], far_wide[i])
+    # One number of at most 58 bits for each token: word, extra bits, and those of the distance.
+    value, n_bits = np.zeros(len(data), dtype=np.uint64), np.zeros(len(data), dtype=np.int64)
+    value[at], n_bits[at] = word[row[at], symbol[at]], wide[row[at], symbol[at]]
+    start = repeats[:, 0]
+    for part, part_bits in ((more.astype(np.uint64), bits), (far_word[row[start], distance], far_wide[row[start], distance]), (far_more.astype(np.uint64), far_bits)):
+        value[start] |= part << n_bits[start].astype(np.uint64)
+        n_bits[start] += part_bits
+    head_bits = np.array([w.size() for w in heads], dtype=np.int64)
+    body = np.bincount(row[at], weights=n_bits[at], minlength=rows).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum((head_bits + body + 7) >> 3)])
+    ends = np.cumsum(n_bits[at])
+    before = np.concatenate([[0], np.cumsum(body)])[:-1]
+    begin = base[row[at]] * 8 + head_bits[row[at]] + ends - n_bits[at] - before[row[at]]
+    buffer = np.zeros(int(base[-1]) + 9, dtype=np.uint8)
+    shift, first, spread = (begin & 7).astype(np.uint64), begin >> 3, value[at]
+    low, width_of = spread << shift, n_bits[at] + (begin & 7)
+    for k in range(9):
+        if k:
+            long = np.flatnonzero(width_of > 8 * k)
+            low, first, width_of, shift, spread = low[long], first[long], width_of[long], shift[long], spread[long]
+        part = (low >> np.uint64(8 * k)) & np.uint64(255) if k < 8 else spread >> (np.uint64(64) - shift)
+        if len(part):
+            # Tokens share no bit, so sums are unions.
+            buffer += np.bincount(first + k, weights=part.astype(np.float64), minlength=len(buffer)).astype(np.uint8)
+    for i in np.flatnonzero(kinds).tolist():
+        head = np.frombuffer(heads[i].bytes(), dtype=np.uint8)
+        buffer[base[i] : base[i] + len(head)] += head
+        files[i] = riff(buffer[base[i] : base[i + 1]].tobytes())
+    return files
