@@ -37,8 +37,9 @@ from .common import checkpoint, mapped, shared_dir, table
 
 ARCHIVE = 8 << 20
 REVISIT = 1000
-#: Index lines of a range, about.
+#: Index lines of a range, about, while there are no more than ``RANGES`` of them; ranges of a larger index hold more.
 RANGE = 20_000
+RANGES = 20_000
 START = datetime.datetime(2020, 1, 1, tzinfo=datetime.timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "urlkey string, timestamp string, id long, archive string, offset long, size long"
@@ -230,14 +231,23 @@ def with_records(pages: DataFrame, key: str = "page_id", timestamp=None) -> Data
         html.alias("html"),
         F.sha1(F.encode(html, "UTF-8")).alias("digest"),
         F.octet_length(html).alias("n"),
-        F.monotonically_increasing_id().alias("uid"),
         (timestamp if timestamp is not None else F.date_format(F.timestamp_seconds(F.lit(int(START.timestamp())) + F.coalesce(F.col(key), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"),
     )
-    slim = checkpoint(base.where((F.col("n") >= REVISIT) & F.col("page_id").isNotNull()).select("uid", "page_id", "digest", "n"))
+    # A row is known by what it holds, not by its place, so it does not matter in which order a task reads.
+    base = base.withColumn("row", F.xxhash64("page_id", "url", "time", "digest", "n"))
+    large = base.where((F.col("n") >= REVISIT) & F.col("page_id").isNotNull())
+    slim = checkpoint(large.groupBy("row", "page_id", "digest", "n").agg(F.count("*").alias("k")))
     # The largest id of each payload, and the least row of that id, by partial sums.
-    first = slim.groupBy("digest", "n").agg(F.max(F.struct("page_id", (-F.col("uid")).alias("neg"))).alias("top"), F.count("*").alias("k")).where("k > 1")
-    again = slim.join(first, ["digest", "n"]).where(F.col("uid") != -F.col("top.neg")).select("uid", F.col("top.page_id").alias("refers_to"))
-    return base.join(again, "uid", "left").withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    first = slim.groupBy("digest", "n").agg(F.max(F.struct("page_id", "row")).alias("top"), F.sum("k").alias("k")).where("k > 1").drop("k")
+    linked = checkpoint(slim.join(first, ["digest", "n"]).select("row", "digest", "k", F.col("top.page_id").alias("refers_to"), (F.col("row") == F.col("top.row")).alias("heads")))
+    out = base.join(linked.where("NOT heads").select("row", "digest", "refers_to"), ["row", "digest"], "left")
+    twins = linked.where("heads AND k > 1").select("row", "digest", F.col("refers_to").alias("own"))
+    if twins.take(1):
+        # Equal rows that head a payload: the first of them is the response.
+        same = base.join(twins, ["row", "digest"]).groupBy(*base.columns, "own").agg(F.count("*").alias("k"))
+        same = same.select(*base.columns, "own", F.posexplode(F.sequence(F.lit(1), F.col("k").cast("int")))).select(*base.columns, F.when(F.col("pos") > 0, F.col("own")).alias("refers_to"))
+        out = out.join(twins, ["row", "digest"], "left_anti").select(*base.columns, "refers_to").unionByName(same)
+    return out.withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def write_warc(pages: DataFrame, folder: str, timestamp=None) -> int:
@@ -298,11 +308,12 @@ INDEX_COLUMNS = ["range", "urlkey", "timestamp", "id", "archive", "offset", "siz
 def merge_index(index: DataFrame) -> DataFrame:
     """The lines in global order: place (from 0), and capture (from 1) within the history of their URL key."""
     n = index.count()
-    ranges = max(1, -(-n // RANGE))
+    ranges = max(1, min(RANGES, -(-n // RANGE)))
     # A range partitioning cuts all runs at the same splitters; its partitions are the ranges.
     cut = index.repartitionByRange(ranges, "urlkey", "timestamp", "id").withColumn("range", F.spark_partition_id().cast("long"))
     pieces = cut.sortWithinPartitions("archive", "urlkey", "timestamp", F.asc_nulls_last("id"))
     lines = checkpoint(pieces.select(*INDEX_COLUMNS).transform(mapped, merged, "range long, urlkey string, timestamp string, id long, archive string, offset long, size long, place long"))
+    # One row for each range, so at most RANGES rows in this window.
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.groupBy("range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("range", "start")
     placed = lines.join(starts, "range").withColumn("place", F.col("place") + F.col("start"))
@@ -314,8 +325,8 @@ def capture_histories(pages: DataFrame) -> DataFrame:
     """Writes, reads back and indexes the pages: a row for each record."""
     spark = pages.sparkSession
     folder = shared_dir(spark)
-    write_warc(pages, folder)
-    records = checkpoint(read_warc(spark, folder))
+    # Without pages there is no archive, and no folder to read.
+    records = checkpoint(read_warc(spark, folder)) if write_warc(pages, folder) else spark.createDataFrame([], READ)
     index = merge_index(records.select("urlkey", "timestamp", F.col("page_id").alias("id"), "archive", "offset", "size"))
     return records.join(index.select("archive", "offset", "place", "capture"), ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "place", "capture")
 
