@@ -2,15 +2,15 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is 13 consecutive words of a
 benchmark item, or all words of a shorter one. Each task turns its documents into shards of a few
-megabytes. From a shard it keeps the stretches made of word pairs that the benchmark has: an
-occurrence of a window lies within one, so nothing is lost and the index stays small. Over these
-stretches it builds a suffix array, its Burrows-Wheeler transform and a wavelet matrix; all windows
+megabytes. The index is over a shard's words in the alphabet of the benchmark: a word that no item has
+ends a run, as no window reaches over it, and runs shorter than the shortest window cannot hold one.
+Over the runs it builds a suffix array, its Burrows-Wheeler transform and a wavelet matrix; all windows
 are searched backwards at once through its ranks, occurrences are located from sampled suffix
 positions, and the word ranges they cover are merged into removal spans.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK`` bytes of text, each collected and
-broadcast by itself, and a task holds one block at a time; a larger benchmark means more blocks, not
-more memory. No shuffle takes place.
+The benchmark goes to the executors in blocks of about ``BLOCK`` bytes of text. The driver turns a block
+into arrays of its different windows, some 60 bytes each, and broadcasts them; a task holds one block at
+a time; a larger benchmark means more blocks, not more memory. Documents are not shuffled.
 
 Defined results: a null or empty text or item has no words; an item without words has no window; the
 windows of an item with a null id count as hits, but it is not among n_items and items_sha256;
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mapped, table
-from .textops import ALNUM, HashSet, Tokenizer, char_positions, mix, slices, text_buffer, word_hash
+from .textops import ALNUM, HashSet, Tokenizer, char_positions, slices, text_buffer
 
 WINDOW = 13
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 SHARD = 4 << 20
 SAMPLE = 8
 
@@ -142,48 +142,48 @@ class FMIndex:
         return self.origin[self.samples[self.kept[rows]] + steps]
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0xA0761D6478BD642F) + b)
+def window_arrays(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> tuple:
+    """What a block of items is searched for, as arrays.
+
+    Sorted word hashes; for each length of windows a matrix of symbols (places of words in the former, from
+    1), bounds and places of their items; and the items' names.
+    """
+    data = np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8)
+    words = Tokenizer(ALNUM)(data, np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)]))
+    vocabulary, symbol = np.unique(words.hash, return_inverse=True)
+    symbol = symbol.astype(np.int32) + np.int32(1)
+    names = sorted({item for item, _ in items if item is not None})
+    place = {name: i for i, name in enumerate(names)}
+    of_row = np.array([-1 if item is None else place[item] for item, _ in items], dtype=np.int64)
+    size = np.minimum(words.count, window)
+    groups = []
+    for n in np.unique(size[size > 0]).tolist():
+        each = (words.count - n + 1) * (size == n)
+        row = np.repeat(np.arange(len(items)), each)
+        start = np.repeat(words.bounds[:-1], each) + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+        parts = np.ascontiguousarray(symbol[start[:, None] + np.arange(n)])
+        _, first, which = np.unique(parts.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(which[of_row[row] >= 0] * max(1, len(names)) + of_row[row][of_row[row] >= 0])
+        bounds = np.searchsorted(pairs, np.arange(len(first) + 1) * max(1, len(names)))
+        groups.append((n, parts[first], bounds, (pairs % max(1, len(names))).astype(np.int32)))
+    return vocabulary, groups, names
 
 
 class Windows:
-    """The windows of a block of items: symbols, patterns by length, and the items of each pattern."""
+    """The windows of a block of items, ready to be searched."""
 
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        tokenize = Tokenizer(ALNUM)
-        data = np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8)
-        words = tokenize(data, np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)]))
-        found: dict[bytes, tuple[np.ndarray, set]] = {}
-        for k, (item, _) in enumerate(items):
-            own = words.hash[words.bounds[k] : words.bounds[k + 1]]
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if size else 0):
-                part = own[i : i + size]
-                found.setdefault(part.tobytes(), (part, set()))[1].update([] if item is None else [item])
-        parts = [p for p, _ in found.values()]
-        self.vocabulary = HashSet(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
-        self.pairs = HashSet(np.unique(np.concatenate([pair_hash(p[:-1], p[1:]) for p in parts])) if parts else np.zeros(0, np.uint64))
-        self.singles = HashSet(np.array([p[0] for p in parts if len(p) == 1], dtype=np.uint64))
-        self.shortest = min(map(len, parts), default=0)
-        self.groups = []
-        for size in sorted({len(p) for p in parts}):
-            chosen = [(p, sorted(s)) for p, s in found.values() if len(p) == size]
-            self.groups.append((size, self.vocabulary.find(np.concatenate([p for p, _ in chosen])).reshape(-1, size) + 1, [s for _, s in chosen]))
+    def __init__(self, arrays: tuple):
+        vocabulary, self.groups, self.names = arrays
+        self.vocabulary = HashSet(vocabulary)
+        self.shortest = min((n for n, *_ in self.groups), default=0)
 
 
 def occurrences(words_hash: np.ndarray, row: np.ndarray, windows: Windows):
-    """(first word, length, items) arrays of all windows that occur in the rows' words."""
-    n = len(words_hash)
-    if not n or not windows.groups:
+    """(first word, length, window, bounds and places of the windows' items) of all that occur in the rows' words."""
+    if not len(words_hash) or not windows.groups:
         return
     known = windows.vocabulary.find(words_hash)
-    both = np.flatnonzero((known[:-1] >= 0) & (known[1:] >= 0) & (row[:-1] == row[1:]))
-    both = both[windows.pairs.find(pair_hash(words_hash[both], words_hash[both + 1])) >= 0]
-    keep = np.zeros(n, dtype=bool)
-    keep[both] = keep[both + 1] = True
-    if len(windows.singles.keys):
-        keep |= windows.singles.find(words_hash) >= 0
-    at = np.flatnonzero(keep)
+    at = np.flatnonzero(known >= 0)
     if not len(at):
         return
     first = np.ones(len(at), dtype=bool)
@@ -195,13 +195,13 @@ def occurrences(words_hash: np.ndarray, row: np.ndarray, windows: Windows):
     if not len(at):
         return
     index = FMIndex(known[at] + 1, first)
-    for size, patterns, items in windows.groups:
+    for size, patterns, bounds, items in windows.groups:
         lo, hi = index.search(patterns)
         hit = np.flatnonzero(hi > lo)
         if len(hit):
             many = (hi - lo)[hit]
             rows = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            yield at[index.locate(rows)], size, np.repeat(hit, many), items
+            yield at[index.locate(rows)], size, np.repeat(hit, many), bounds, items
 
 
 class Shard:
@@ -224,12 +224,13 @@ class Shard:
         self.items: dict[int, set] = {}
         cover = np.zeros(len(self.hash) + 1, dtype=np.int64)
         for block in blocks:
-            for begin, size, which, items in occurrences(self.hash, self.row, block):
+            for begin, size, which, bounds, items in occurrences(self.hash, self.row, block):
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + size, -1)
-                pairs = np.unique(self.row[begin] * len(items) + which)
-                for p in pairs.tolist():
-                    self.items.setdefault(p // len(items), set()).update(items[p % len(items)])
+                n = len(bounds)
+                for p in np.unique(self.row[begin] * n + which).tolist():
+                    lo, hi = bounds[p % n : p % n + 2]
+                    self.items.setdefault(p // n, set()).update(block.names[i] for i in items[lo:hi].tolist())
         self.hit = np.cumsum(cover[:-1]) > 0
         self.n_hit = np.bincount(self.row[self.hit], minlength=self.n_rows)
         self.contaminated = (self.n_hit > 0) & (20 * self.n_hit >= self.n_words)
@@ -334,12 +335,22 @@ def removals(broadcasts):
 
 
 def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> list:
-    """Broadcasts of [(item id as text, text in UTF-8)], each of about ``block`` bytes at most."""
+    """Broadcasts of :func:`window_arrays`, each of about ``block`` bytes of text; the benchmark is read once."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
     total = items.agg(F.sum(F.length("text") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
     n = max(1, math.ceil(total / block))
-    return [spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]) for k in range(n)]
+    out, held, size = [], [], 0
+    # Partitions of about a block each come one after the other; a block is passed on as soon as it is full.
+    for r in items.repartition(n).toLocalIterator():
+        held.append((r.item, bytes(r.text)))
+        size += len(r.text)
+        if size >= block:
+            out.append(spark.sparkContext.broadcast(window_arrays(held)))
+            held, size = [], 0
+    if held or not out:
+        out.append(spark.sparkContext.broadcast(window_arrays(held)))
+    return out
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
