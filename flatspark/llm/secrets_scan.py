@@ -4,8 +4,9 @@ Base kinds: ``assign`` (a credential word, then : or =, then a value of 6 or mor
 ``access`` (AKIA keys of 20 or more characters) and ``hex`` (24 or more hexadecimal digits), leftmost
 non-overlapping each. The kind ``token`` adds other runs of 20 or more characters with letters and
 digits. All values are hashed (128 bits) within the scan; the hashes are counted over the corpus by
-distinct owners and by distinct repositories. A value that ``EXAMPLE_OWNERS`` or more owners have is an
-example, and so is one of which placeholder words make up half or more, or whose entropy is below
+distinct owners and by distinct repositories. A value that ``EXAMPLE_OWNERS`` or more owners have, or
+``EXAMPLE_REPOSITORIES`` or more repositories of however few owners, is copied widely and an example; an owner's own
+credential is in few places. So is one an example of which placeholder words make up half or more, or whose entropy is below
 ``MIN_ENTROPY`` bits or, for short values, below ``SHARE`` of what its length allows; others are
 live-looking. Base spans are always reported; a ``token`` span only if it is live-looking.
 
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, mapped, row_keys, table
+from .common import checkpoint, fresh, mapped, row_keys, table
 from .textops import slices, text_buffer
 
 KINDS = ("assign", "access", "hex", "token")
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 20
 MIN_ENTROPY = 2.5
 SHARE = 0.6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -81,22 +84,29 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
 
 
+FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("looks", pa.bool_())]))
+
+
+def candidates(text: str) -> tuple[list, list[dict]]:
+    """The base spans of a text, and all candidates with the hashes of their values."""
+    base = base_spans(text)
+    return base, [{"kind": k, "start": s, "end": e, "hash": hashlib.blake2b(v.encode(), digest_size=16).hexdigest(), "looks": looks_live(v)} for s, k, e, v in base + added_spans(text, base)]
+
+
 def scan(batches):
     task, done = TaskContext.get().partitionId(), 0
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("looks", pa.bool_())]))
     for batch in batches:
         _, offsets = text_buffer(batch.column("text"))
         for lo, hi in slices(offsets):
             counts, shas, found = [], [], []
             for text in batch.column("text").slice(lo, hi - lo).to_pylist():
-                text = text or ""
-                base = base_spans(text)
+                base, own = candidates(text or "")
                 counts.append([sum(s[1] == k for s in base) for k in range(3)])
                 shas.append(hashlib.sha256(written(base).encode()).hexdigest())
-                found.append([{"kind": k, "start": s, "end": e, "hash": hashlib.blake2b(v.encode(), digest_size=16).hexdigest(), "looks": looks_live(v)} for s, k, e, v in base + added_spans(text, base)])
+                found.append(own)
             counts = np.array(counts, dtype=np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [row_keys(task, done, hi - lo), *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "repo", "owner")), *(pa.array(counts[:, i]) for i in range(3)), pa.array(shas, pa.string()), pa.array(found, kind)],
+                [row_keys(task, done, hi - lo), *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "repo", "owner")), *(pa.array(counts[:, i]) for i in range(3)), pa.array(shas, pa.string()), pa.array(found, FOUND)],
                 names=["uid", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
             )
             done += hi - lo
@@ -111,7 +121,7 @@ def judged(rows: DataFrame) -> DataFrame:
     """Each candidate with the owners and repositories of its value; live says what it looks like."""
     each = rows.where(F.size("found") > 0).select("uid", "repo", "owner", F.explode("found").alias("f")).select("uid", "repo", "owner", "f.*")
     owned = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = F.col("looks") & (F.col("owners") < EXAMPLE_OWNERS)
+    live = F.col("looks") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repos") < EXAMPLE_REPOSITORIES)
     return each.join(owned, "hash").select("uid", "kind", "start", "end", "owners", "repos", live.alias("live"))
 
 
@@ -131,29 +141,27 @@ def scan_secrets(documents: DataFrame, repository: str = "doc_id", owner: str =
     )
 
 
-def with_candidates(wanted: bool):
-    """Rows that have a candidate, or those that have none; unchanged."""
+def marked(key: str, found: str):
+    """The rows with a key and their candidates."""
 
     def run(batches):
+        task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = text_buffer(batch.column("text"))
             for lo, hi in slices(offsets):
                 part = batch.slice(lo, hi - lo)
-                keep = []
-                for t in part.column("text").to_pylist():
-                    base = base_spans(t or "")
-                    keep.append(bool(base or added_spans(t or "", base)) == wanted)
-                yield part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, row_keys(task, done, hi - lo), pa.array([candidates(t or "")[1] for t in part.column("text").to_pylist()], FOUND)], names=[*part.schema.names, key, found])
+                done += hi - lo
 
     return run
 
 
-def redactor(mark: str):
+def redactor(mark: str, cut_name: str, columns: list[str]):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
-            for i, (text, cut) in enumerate(zip(texts, batch.column("__cut").to_pylist())):
+            for i, (text, cut) in enumerate(zip(texts, batch.column(cut_name).to_pylist())):
                 if text and cut:
                     out, at = [], 0
                     for c in cut:
@@ -163,27 +171,26 @@ def redactor(mark: str):
                     texts[i] = "".join([*out, text[at:]])
                     if sizes:
                         sizes[i] = len(texts[i])
-            columns = [texts if n == "text" else sizes if n == "n_chars" else None for n in batch.schema.names]
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("__cut", "__uid")]
-            yield pa.RecordBatch.from_arrays([batch.column(i) if columns[i] is None else pa.array(columns[i], batch.schema.field(i).type) for i in keep], names=[batch.schema.names[i] for i in keep])
+            made = {"text": texts, "n_chars": sizes}
+            yield pa.RecordBatch.from_arrays([batch.column(c) if made.get(c) is None else pa.array(made[c], batch.schema.field(c).type) for c in columns], names=columns)
 
     return run
 
 
-def keyed(batches):
-    task, done = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, row_keys(task, done, len(batch))], names=[*batch.schema.names, "__uid"])
-        done += len(batch)
-
-
 def redact_live(documents: DataFrame, repository: str = "doc_id", owner: str = "source", mark: str = "<secret>") -> DataFrame:
-    """The documents, with live-looking credentials replaced; same columns. Only rows with candidates move."""
-    clean = documents.transform(mapped, with_candidates(False), documents.schema)
-    rest = checkpoint(documents.transform(mapped, with_candidates(True), documents.schema).transform(mapped, keyed, documents.schema.simpleString()[7:-1] + ",__uid:bigint"))
-    rows = scanned(rest.select(F.col("__uid").alias("doc_id"), "text", F.col(repository).alias("__repo"), F.col(owner).alias("__owner")), "__repo", "__owner")
-    cut = judged(rows).where("live").join(rows.select("uid", F.col("doc_id").alias("__uid")), "uid").groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
-    return clean.unionByName(rest.join(cut, "__uid", "left").transform(mapped, redactor(mark), documents.schema).select(documents.columns))
+    """The documents, with live-looking credentials replaced; same columns.
+
+    Texts are scanned once, and rows and candidates written together. Null, empty and repeated rows stay as
+    they are; of overlapping spans the earlier one counts; n_chars, where there is one, follows the text.
+    """
+    key, found, cut = (fresh(documents, n) for n in ("uid", "found", "cut"))
+    kinds = [T.StructField(key, T.LongType()), T.StructField(found, T._parse_datatype_string(CANDIDATES))]
+    rows = checkpoint(documents.withColumn("text", F.col("text").cast("string")).transform(mapped, marked(key, found), T.StructType([*documents.schema.fields, *kinds])))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    judged_rows = judged(rows.select(F.col(key).alias("uid"), text(repository).alias("repo"), text(owner).alias("owner"), F.col(found).alias("found"))).where("live")
+    cuts = judged_rows.groupBy(F.col("uid").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cut))
+    clean, rest = rows.where(F.size(found) == 0).select(documents.columns), rows.where(F.size(found) > 0).drop(found)
+    return clean.unionByName(rest.join(cuts, key, "left").transform(mapped, redactor(mark, cut, documents.columns), documents.schema))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
