@@ -29,9 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a directory; the cluster's setting is used where there is one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flatspark-"))
+    """checkpoint() needs a directory: the one the cluster names; a temporary one only in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="flatspark-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -65,5 +69,26 @@ def fold(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def least_hashed(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """At most ``n`` rows with the least 64-bit hashes in ``column``.
+
+    Rows are counted first; a bound on the hash, which some more than ``n`` of them keep, then goes into
+    the scan, so no task and no driver meets more rows than that however large the table is.
+    """
+    total = rows.count()
+    wanted = 1.1 * n + 100
+    if total > wanted:
+        rows = rows.where(F.col(column) < F.lit(int(wanted / total * 2**64) - 2**63).cast("long"))
+    return rows.orderBy(column, *(c for c in rows.columns if c != column)).limit(n)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def row_keys(task: int, first: int, n: int) -> pa.Array:
     return pa.array((np.int64(task) << ROW_BITS) + np.arange(first, first + n, dtype=np.int64))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mapped, table
+from .common import fold, least_hashed, mapped, table
 from .textops import slices, text_buffer
 
 HIDDEN = 8
@@ -248,13 +248,10 @@ def fit(documents: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Netw
     text = F.encode(F.col("text").cast("string"), "UTF-8")
     room = F.greatest(F.lit(1), F.length(text) - DRAWN + 1)
     piece = F.substring(text, F.pmod(F.xxhash64(spread), room).cast("int") + 1, F.lit(DRAWN))
-    rows = (
-        documents.where((fold("doc_id", HELD_OUT) != 0) & F.col(label).isNotNull() & (F.length("text") > 0))
-        .select(spread.alias("h"), piece.alias("text"), F.col(label).cast("string").alias("label"))
-        .orderBy("h", "label", "text")
-        .limit(sample)
-        .collect()
-    )
+    taught = documents.where((fold("doc_id", HELD_OUT) != 0) & F.col(label).isNotNull())
+    chosen = least_hashed(taught.select(spread.alias("h")), "h", sample)
+    last = chosen.agg(F.max("h")).first()[0]
+    rows = taught.where((spread <= (last if last is not None else 0)) & (F.length("text") > 0)).select(spread.alias("h"), piece.alias("text"), F.col(label).cast("string").alias("label")).orderBy("h", "label", "text").limit(sample).collect()
     return train([bytes(r.text) for r in rows], [r.label for r in rows])
 
 

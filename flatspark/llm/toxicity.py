@@ -11,7 +11,7 @@ The model is fitted on the features of at most ``SAMPLE`` labelled training docu
 least hash of their id; only their features and the stems reach the driver. Scoring shuffles nothing.
 
 Defined results: a null or empty text has zero features and a score like others; a null label teaches
-nothing, and of several labels of an id the largest counts; without labels, or with one class, all
+nothing, and of several labels of an id, or of equal texts, the largest counts; without labels, or with one class, all
 scores are the share of toxic ones (0 if there are none); repeated rows give repeated results; an empty
 table gives an empty result; other columns of the input do not matter.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fold, mapped, table
+from .common import checkpoint, fold, least_hashed, mapped, table
 from .textops import ALNUM, LOWER, HashSet, Tokenizer, slices, text_buffer, word_hash
 
 SAMPLE = 16_000
@@ -266,10 +266,12 @@ def scored(model):
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` labelled training documents."""
     known = labels.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic")).select(F.xxhash64("id").alias("h"), "id", "toxic")
+    chosen = least_hashed(chosen, "h", sample)
     texts = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    # A sample of a size that is set: its texts are written once, one of equal ones.
-    texts = checkpoint(texts.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part")).dropDuplicates(["text"]))
+    # A sample of a size that is set: its texts are written once. Of equal ones the largest label counts.
+    texts = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    texts = checkpoint(texts.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part")))
     toxic = F.sum("toxic")
     stems = texts.where("part < 2").select("text", "toxic").transform(mapped, stems_of, "key long, toxic int").groupBy("key").agg(toxic.alias("toxic"), F.count("*").alias("n")).where((F.col("toxic") >= STEM_TEXTS) & (F.col("toxic") >= STEM_SHARE * F.col("n")))
     stems = np.array([r.key for r in stems.select("key").collect()], dtype=np.int64).view(np.uint64)
