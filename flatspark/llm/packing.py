@@ -2,7 +2,7 @@
 
 A length is the number of words ``[^\\x20\\x09-\\x0D]+`` of a text and one for its end. The lengths of all
 documents are counted by groupBy; dynamic programming over this histogram chooses the ``buckets`` upper
-bounds with the least padded tokens. A bucket's documents, in a fixed order, fill batches of
+bounds with the least padded tokens. A bucket's documents, by length and then id (null ids last), fill batches of
 ``budget // bound`` rows (one row if the bound is over the budget), so a batch has at most ``budget``
 padded tokens.
 
@@ -11,7 +11,7 @@ tokens, so there are at most the square root of twice the tokens of the corpus (
 TB of text). Texts never move. Places in a bucket come from counts by blocks of at most ``BLOCK``
 rows, however many rows a bucket has, so no task holds a bucket.
 
-Defined results: a null or empty text has length 1; repeated rows take a place each; fewer distinct
+Defined results: a null or empty text has length 1; repeated rows take a place each, and the files' layout does not matter; fewer distinct
 lengths than buckets give as many buckets as lengths; an empty table gives an empty result; other
 columns of the input do not matter.
 """
@@ -81,9 +81,10 @@ def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(documents: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, pad_to, batch (within the bucket) and slot (within the batch)."""
-    # Written once: the row numbers must be the same in the counts and in the places.
-    rows = checkpoint(with_lengths(documents).withColumn("uid", F.monotonically_increasing_id()))
+    rows = checkpoint(with_lengths(documents))
     bounds = optimal_bounds(*histogram(rows), buckets)
+    # Numbered in their order and written once: numbers must be the same in the counts and in the places.
+    rows = checkpoint(rows.orderBy("n_tokens", F.asc_nulls_last("doc_id")).withColumn("uid", F.monotonically_increasing_id()))
     known = F.array(*map(F.lit, bounds)) if bounds else F.array(F.lit(1))
     low = F.col("uid").bitwiseAND((1 << ROW_BITS) - 1)
     placed = rows.withColumns(
