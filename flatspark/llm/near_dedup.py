@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, mapped, row_keys, table
+from .common import checkpoint, fresh, mapped, row_keys, table
 from .textops import ALNUM, Tokenizer, mix, slices, text_buffer
 
 SHINGLE = 5
@@ -324,30 +324,36 @@ def near_classes(documents: DataFrame) -> DataFrame:
     return rows.join(heads, "class").select("doc_id", "class_id", "class_size")
 
 
-def with_digest(batches):
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        ids = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "__tid"])
+def with_digest(name: str):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            ids = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, name])
+
+    return run
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each class; same columns.
 
     The least id stays (null ids last), of several texts under it the one of the least digest, and of
-    rows with that id and text any one. Rows are known by id and text, not by id alone.
+    rows with that id and text any one. Rows are known by id and text, not by id alone. A null text counts
+    as the empty one, and empty texts are copies of each other.
     """
     rows = classed(documents)
     heads = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")).alias("head"))
     stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tid") == F.col("head.tid"))
-    keys = rows.join(heads, "class").groupBy(F.col("doc_id").alias("__id"), F.col("tid").alias("__of")).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n"))
+    tid, id_of, of = (fresh(documents, n) for n in ("tid", "id_of", "of"))
+    keys = rows.join(heads, "class").groupBy(F.col("doc_id").alias(id_of), F.col("tid").alias(of)).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n"))
     keys = checkpoint(keys.where("NOT stays OR n > 1"))
-    marked = documents.transform(mapped, with_digest, T.StructType([*documents.schema.fields, T.StructField("__tid", T.BinaryType())]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tid") == F.col("__of"))
+    marked = documents.transform(mapped, with_digest(tid), T.StructType([*documents.schema.fields, T.StructField(tid, T.BinaryType())]))
+    same = marked["doc_id"].cast("long").eqNullSafe(keys[id_of]) & (marked[tid] == keys[of])
     out = marked.join(keys, same, "left_anti").select(documents.columns)
     again = keys.where("stays")
     if again.take(1):
-        out = out.unionByName(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "__tid"]).select(documents.columns))
+        same = marked["doc_id"].cast("long").eqNullSafe(again[id_of]) & (marked[tid] == again[of])
+        out = out.unionByName(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", tid]).select(documents.columns))
     return out
 
 
