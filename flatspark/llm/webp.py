@@ -75,9 +75,11 @@ class Code:
         size = 1 << longest
         if sum(size >> lengths[s] for s in used) != size:
             raise FormatError("a prefix code is not complete")
-        self.array = np.zeros(size, dtype=np.int32)
-        for s, word in canonical(lengths).items():
-            self.array[word :: 1 << lengths[s]] = s << 4 | lengths[s]
+        # Words in order fill the table from its start, if the first bit of a word is the highest.
+        size_of = np.array([lengths[s] for s in used])
+        order = np.argsort(size_of, kind="stable")
+        entries = (np.array(used) << 4 | size_of)[order].astype(np.int32)
+        self.array = np.repeat(entries, 1 << (longest - size_of[order]))[turned_places(longest)]
 
     @property
     def table(self) -> list[int]:
@@ -105,6 +107,15 @@ def single(symbol: int) -> Code:
     return Code([0] * symbol + [1])
 
 
+@functools.lru_cache(maxsize=None)
+def turned_places(n: int) -> np.ndarray:
+    """All numbers of n bits, with their bits in reverse."""
+    out = np.zeros(1, dtype=np.int64)
+    for k in range(n):
+        out = np.concatenate([out, out + (1 << (n - 1 - k))])
+    return out
+
+
 #: The bits of a byte in reverse.
 TURNED = [int(f"{b:08b}"[::-1], 2) for b in range(256)]
 
@@ -426,23 +437,24 @@ def summed(residuals: np.ndarray, mode: int) -> np.ndarray:
 
 def cross(pixels: np.ndarray, elements: np.ndarray, size: int, invert: bool) -> np.ndarray:
     height, width = pixels.shape
-    signed = lambda a: a.astype(np.uint8).view(np.int8).astype(np.int64)
-    c = channels(pixels)
-    e = channels(elements)[np.arange(height)[:, None] >> size, np.arange(width)[None, :] >> size]
-    delta = lambda t, v: (signed(np.ascontiguousarray(t)) * signed(np.ascontiguousarray(v))) >> 5
-    out = c.astype(np.int64)
-    sign = 1 if invert else -1
-    red = (out[..., 2] + sign * delta(e[..., 0], c[..., 1])) & 255
-    blue = out[..., 0] + sign * delta(e[..., 1], c[..., 1])
-    blue = blue + sign * delta(e[..., 2], (red if invert else out[..., 2]).astype(np.uint8))
-    out[..., 2], out[..., 0] = red, blue & 255
-    return packed(out)
+    signed = lambda a: np.ascontiguousarray(a).view(np.int8).astype(np.int32)
+    c = channels(pixels).copy()
+    e = channels(elements)
+    if elements.size > 1:
+        e = e[np.arange(height)[:, None] >> size, np.arange(width)[None, :] >> size]
+    delta = lambda t, v: ((signed(t) * signed(v)) >> 5).astype(np.uint8)
+    red = c[..., 2].copy()
+    by_green, by_red = delta(e[..., 0], c[..., 1]), delta(e[..., 1], c[..., 1])
+    c[..., 2] = red + by_green if invert else red - by_green
+    by_red += delta(e[..., 2], c[..., 2] if invert else red)
+    c[..., 0] = c[..., 0] + by_red if invert else c[..., 0] - by_red
+    return packed(c)
 
 
 def green(pixels: np.ndarray, invert: bool) -> np.ndarray:
-    c = channels(pixels).astype(np.int64)
+    c = channels(pixels).copy()
     for i in (0, 2):
-        c[..., i] = (c[..., i] + (c[..., 1] if invert else -c[..., 1])) & 255
+        c[..., i] = c[..., i] + c[..., 1] if invert else c[..., i] - c[..., 1]
     return packed(c)
 
 
@@ -724,6 +736,8 @@ WORTH = 12
 #: Longest code words that are written, and the colour cache's bits.
 MOST, CACHE = 12, 10
 LONGEST = 4096
+#: Cache places of green residuals of 0 to 255, by opacity; with so many bits all differ.
+PLACES = (MULTIPLIER * (np.array([[0], [255]]) << 24 | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - CACHE)
 #: What ``encode_grey`` does with an image; the kind follows from its bytes alone.
 KINDS = ("palette", "green and references", "predictor, green and cache", "cross-colour, references and cache")
 
@@ -742,9 +756,8 @@ def references(data: np.ndarray, row: np.ndarray, stop: np.ndarray) -> list[tupl
     n = len(data) - GRAM + 1
     if n <= 0:
         return []
-    key = row[:n].astype(np.uint64)
-    for j in range(GRAM):
-        key = key << np.uint64(8) | data[j : j + n]
+    words = np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    key = words & np.uint64((1 << 8 * GRAM) - 1) | row[:n].astype(np.uint64) << np.uint64(8 * GRAM)
     at = np.flatnonzero(np.arange(n) + GRAM <= stop[:n])
     at = at[np.argsort(key[at], kind="stable")]
     back = np.zeros(n, dtype=np.int64)
@@ -773,6 +786,12 @@ def prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
 
 
+@functools.lru_cache(maxsize=None)
+def near_codes(width: int) -> dict[int, int]:
+    """The codes of distances that point at near pixels."""
+    return {dx + dy * width: i + 1 for i, (dx, dy) in reversed(list(enumerate(NEAR))) if dx + dy * width >= 1}
+
+
 @functools.lru_cache(maxsize=1000)
 def even_image(height: int, width: int, colour: int) -> tuple[int, int]:
     """Bits of an image of one colour, and their number."""
@@ -814,31 +833,24 @@ def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> lis
         if kind != 1:
             w.put(CACHE, 4)
         w.put(0, 1)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    kind = kinds[row]
-    token = kind > 0
-    symbol = green.astype(np.int64)
-    # Cache hits: the last pixel of a row in the same place of the cache was the same.
-    alpha = np.array([0, 255, 0, 255])
-    place = ((MULTIPLIER * (alpha[:, None] << 24 | np.arange(256)[None] << 8) & 0xFFFFFFFF) >> (32 - CACHE))
-    cached = np.flatnonzero(kind >= 2)
-    slot = place[kind[cached], green[cached]]
-    order = np.argsort(row[cached] << CACHE | slot, kind="stable")
-    where, near = row[cached][order] << CACHE | slot[order], green[cached][order]
-    hit = np.zeros(len(cached), dtype=bool)
-    hit[order[1:]] = (where[1:] == where[:-1]) & (near[1:] == near[:-1])
-    symbol[cached[hit]] = 280 + slot[hit]
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
+    symbol = green.astype(np.int32)
+    # Greys have a place each in the cache (PLACES), so a pixel is in it if it has been in its row before.
+    cached = np.flatnonzero((kinds >= 2)[row])
+    shade = row[cached] << 8 | green[cached]
+    first = np.zeros(rows << 8, dtype=np.int64)
+    first[shade[::-1]] = cached[::-1]
+    hit = cached[cached > first[shade]]
+    symbol[hit] = 280 + PLACES[kinds[row[hit]] & 1, green[hit]]
     repeats = np.array(references(green, row, np.where(kinds % 2 == 1, offsets[1:], 0)[row]), dtype=np.int64).reshape(-1, 3)
-    inside = np.zeros(len(data) + 1, dtype=np.int64)
-    np.add.at(inside, repeats[:, 0], 1)
-    np.add.at(inside, repeats[:, 0] + repeats[:, 1], -1)
-    token &= np.cumsum(inside[:-1]) == 0
-    token[repeats[:, 0]] = True
-    codes = np.zeros(len(data), dtype=np.int64)
-    length, more, bits = prefixes(repeats[:, 1])
-    symbol[repeats[:, 0]] = 256 + length
-    by_width = {width: {dx + dy * width: i + 1 for i, (dx, dy) in reversed(list(enumerate(NEAR))) if dx + dy * width >= 1} for width in set(widths)}
-    codes = np.array([by_width[widths[r]].get(far, far + 120) for r, far in zip(row[repeats[:, 0]].tolist(), repeats[:, 2].tolist())], dtype=np.int64)
+    start, length, more, bits = repeats[:, 0], *prefixes(repeats[:, 1])
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[start] += 1
+    inside[start + repeats[:, 1]] -= 1
+    token = (np.cumsum(inside[:-1], dtype=np.int8) == 0) & (kinds > 0)[row]
+    token[start] = True
+    symbol[start] = 256 + length
+    codes = np.array([near_codes(widths[r]).get(far, far + 120) for r, far in zip(row[start].tolist(), repeats[:, 2].tolist())], dtype=np.int64)
     distance, far_more, far_bits = prefixes(codes)
 
     def fill(w: Writer, own: np.ndarray, words_to: np.ndarray, wide_to: np.ndarray) -> None:
@@ -848,8 +860,10 @@ def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> lis
 
     size = 280 + (1 << CACHE)
     at = np.flatnonzero(token)
-    counts = np.bincount(row[at] * size + symbol[at], minlength=rows * size).reshape(rows, size)
-    far_counts = np.bincount(row[repeats[:, 0]] * 40 + distance, minlength=rows * 40).reshape(rows, 40)
+    own = row[at]
+    place, far_place = own.astype(np.int64) * size + symbol[at], row[start].astype(np.int64) * 40 + distance
+    counts = np.bincount(place, minlength=rows * size).reshape(rows, size)
+    far_counts = np.bincount(far_place, minlength=rows * 40).reshape(rows, 40)
     word, wide = np.zeros((rows, size), dtype=np.uint64), np.zeros((rows, size), dtype=np.int64)
     far_word, far_wide = np.zeros((rows, 40), dtype=np.uint64), np.zeros((rows, 40), dtype=np.int64)
     for i in np.flatnonzero(kinds).tolist():
@@ -859,21 +873,19 @@ def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> lis
             put_code(w, [constant], [1], 256)
         fill(w, far_counts[i], far_word[i], far_wide[i])
     # One number of at most 58 bits for each token: word, extra bits, and those of the distance.
-    value, n_bits = np.zeros(len(data), dtype=np.uint64), np.zeros(len(data), dtype=np.int64)
-    value[at], n_bits[at] = word[row[at], symbol[at]], wide[row[at], symbol[at]]
-    start = repeats[:, 0]
-    for part, part_bits in ((more.astype(np.uint64), bits), (far_word[row[start], distance], far_wide[row[start], distance]), (far_more.astype(np.uint64), far_bits)):
-        value[start] |= part << n_bits[start].astype(np.uint64)
-        n_bits[start] += part_bits
+    value, n_bits = word.ravel()[place], wide.ravel()[place]
+    refers = np.searchsorted(at, start)
+    for part, part_bits in ((more.astype(np.uint64), bits), (far_word.ravel()[far_place], far_wide.ravel()[far_place]), (far_more.astype(np.uint64), far_bits)):
+        value[refers] |= part << n_bits[refers].astype(np.uint64)
+        n_bits[refers] += part_bits
     head_bits = np.array([w.size() for w in heads], dtype=np.int64)
-    body = np.bincount(row[at], weights=n_bits[at], minlength=rows).astype(np.int64)
-    base = np.concatenate([[0], np.cumsum((head_bits + body + 7) >> 3)])
-    ends = np.cumsum(n_bits[at])
-    before = np.concatenate([[0], np.cumsum(body)])[:-1]
-    begin = base[row[at]] * 8 + head_bits[row[at]] + ends - n_bits[at] - before[row[at]]
+    ends = np.concatenate([[0], np.cumsum(n_bits)])
+    bounds = ends[np.searchsorted(at, offsets)]
+    base = np.concatenate([[0], np.cumsum((head_bits + np.diff(bounds) + 7) >> 3)])
+    begin = (base[:-1] * 8 + head_bits - bounds[:-1])[own] + ends[:-1]
     buffer = np.zeros(int(base[-1]) + 9, dtype=np.uint8)
-    shift, first, spread = (begin & 7).astype(np.uint64), begin >> 3, value[at]
-    low, width_of = spread << shift, n_bits[at] + (begin & 7)
+    shift, first, spread = (begin & 7).astype(np.uint64), begin >> 3, value
+    low, width_of = spread << shift, n_bits + (begin & 7)
     for k in range(9):
         if k:
             long = np.flatnonzero(width_of > 8 * k)

@@ -165,15 +165,64 @@ def test_webp_round_trip(transforms, cache):
     assert (webp.decode(webp.encode(pixels, transforms, True, cache)) == pixels).all()
 
 
-def test_webp_even_and_bad_bytes():
-    pixels = np.random.default_rng(8).integers(0, 1 << 32, (5, 16)).astype(np.uint32)
-    data = webp.encode_even(pixels)
-    assert (webp.decode(data) == pixels).all()
-    for bad in (b"", b"RIFF", data[:-9], data[:12] + b"VP8 " + data[16:]):
+GREY = [bytes(64), b"a" * 640, b"the quick brown fox " * 200, bytes(range(256)) * 5, "é à ü - ".encode() * 90 + bytes(range(60)), *(np.random.default_rng(k).choice(np.frombuffer(b"etaoin shrdlu,.ETAOIN0123456789", np.uint8), 700 + 64 * k).tobytes() + b"repeated passage of some length " * 3 for k in range(9))]
+
+
+def test_webp_grey_strings_round_trip():
+    own = [np.frombuffer(g + bytes(-len(g) % 64), np.uint8) for g in GREY]
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in own])])
+    together = webp.encode_grey(np.concatenate(own), bounds, [64] * len(own))
+    kinds = {webp.kind_of(p) for p in own}
+    assert kinds == {0, 1, 2, 3}
+    for p, file in zip(own, together):
+        assert (webp.decode(file) == webp.grey(p, 64)).all()
+        assert file == webp.encode_grey(p, np.array([0, len(p)]), [64])[0]  # no matter what stands beside
+
+
+def test_webp_green_walk_equals_reading_symbols(monkeypatch):
+    own = [np.frombuffer(g + bytes(-len(g) % 64), np.uint8) for g in GREY]
+    files = [webp.encode_grey(p, np.array([0, len(p)]), [64])[0] for p in own]
+    fast = [webp.decode(f) for f in files]
+    monkeypatch.setattr(webp, "read_green", lambda *a: None)
+    assert all((webp.decode(f) == x).all() for f, x in zip(files, fast))
+
+
+def test_webp_bad_bytes():
+    data = webp.encode(np.random.default_rng(8).integers(0, 1 << 32, (5, 16)).astype(np.uint32))
+    green = webp.encode_grey(np.frombuffer(GREY[2] + bytes(-len(GREY[2]) % 64), np.uint8), np.array([0, 4032]), [64])[0]
+    for bad in (b"", b"RIFF", data[:-9], data[:12] + b"VP8 " + data[16:], green[:-20]):
         with pytest.raises(webp.FormatError):
             webp.decode(bad)
 
 
+@pytest.mark.parametrize("mode", range(14))
+def test_webp_predictor_modes(mode):
+    pixels = np.random.default_rng(mode).integers(0, 1 << 32, (6, 7)).astype(np.uint32)
+    modes = np.full((2, 2), mode)
+    assert (webp.predict(webp.predict(pixels, modes, 2, False), modes, 2, True) == pixels).all()
+    mixed = modes.copy()
+    mixed[1, 1] = 5  # tiles of two modes take the loop over pixels
+    assert (webp.predict(webp.predict(pixels, mixed, 2, False), mixed, 2, True) == pixels).all()
+    assert (webp.predict(pixels, modes, 2, False)[:4, :4] == webp.predict(pixels, mixed, 2, False)[:4, :4]).all()
+
+
+@pytest.mark.parametrize("counts", [[1], [1, 1], [5, 1, 1, 1, 9], [2**k for k in range(25)], [3] * 60])
+def test_huffman_lengths(counts):
+    for most in (15, 7):
+        lengths = webp.lengths_of(list(range(len(counts))), counts, most)
+        assert max(lengths) <= most and (len(counts) == 1 or sum(2.0**-n for n in lengths) == 1)
+
+
+def test_windows_of_a_block():
+    items = [("b", b"one two three four"), (None, b"two three four"), ("a", b"one two three four"), ("c", b""), ("d", b"one")]
+    vocabulary, groups, names = decontamination.window_arrays(items, 3)
+    assert names == ["a", "b", "c", "d"] and len(vocabulary) == 4
+    (one, _, _, of_one), (three, patterns, bounds, of_three) = groups
+    assert (one, three, len(patterns)) == (1, 3, 2) and of_one.tolist() == [3]
+    assert sorted(of_three[a:b].tolist() for a, b in zip(bounds, bounds[1:])) == [[0, 1], [0, 1]]
+    assert decontamination.window_arrays([])[1] == []
+
+
 @pytest.mark.parametrize("runs", [[], [[]], [[1, 3], [2], [], [0, 9, 9]], [[5]] * 4])
 def test_loser_tree_merges(runs):
     assert list(warc.LoserTree(runs, key=lambda x: x)) == sorted(x for r in runs for x in r)
