@@ -37,11 +37,15 @@ def candidates(folder: str = LIBRARY) -> list[tuple[str, Layout]]:
 
 
 def scores(sample: DataFrame, layouts: list[tuple[str, Layout]]) -> DataFrame:
-    """path and score: for each wholly valid record 10 points and one for each field. Sample: a record frame."""
+    """path and score: for each wholly valid record 10 points and one for each field. Sample: a small record frame.
+
+    Only layouts of a length that some record has are tried, as others have no valid record.
+    """
+    sizes = {r.n for r in sample.selectExpr("length(record) AS n").distinct().collect()}
     each = [
         validate(sample, layout, on_decode_error="record").select(F.lit(path).alias("path"), F.when(F.col("ok"), BONUS + len(layout.fields)).otherwise(0).alias("score"))
         for path, layout in layouts
-        if layout.record_length is not None
+        if layout.record_length in sizes
     ]
     if not each:
         return sample.sparkSession.createDataFrame([], "path string, score bigint")
