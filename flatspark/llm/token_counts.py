@@ -16,7 +16,6 @@ of the input do not matter.
 """
 
 import re
-import sys
 
 import ahocorasick
 import pyarrow as pa
@@ -29,8 +28,8 @@ from .textops import slices, text_buffer
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
-#: Words remembered by a worker, in each of two generations.
-REMEMBERED = 200_000
+#: Words that a worker remembers, about; then it forgets all.
+REMEMBERED = 300_000
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
@@ -48,6 +47,20 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
     return out
 
 
+class Remembered(dict):
+    """What a function of a word gave; words of more than 64 characters are not kept."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        got = self.of(word)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
 class Counter:
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
@@ -59,8 +72,7 @@ class Counter:
         self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
         alone = "".join(c for c in "\n\t" if not any(c in p for p, _ in pieces))
         self.word = re.compile(f" +[^ {alone}]*|[^ {alone}]+|[{alone}]" if alone else " +[^ ]*|[^ ]+")
-        self.young: dict[str, tuple[float, int]] = {}
-        self.old: dict[str, tuple[float, int]] = {}
+        self.known = Remembered(self.segment)
 
     def segment(self, word: str) -> tuple[float, int]:
         """Best score and its number of pieces."""
@@ -90,22 +102,12 @@ class Counter:
                 best[end], count[end], filled[end] = candidate, count[end - 1] + len(c.encode("utf-8", "surrogatepass")), True
 
     def text(self, text: str) -> tuple[float, int]:
-        total, pieces = 0.0, 0
         if not text:
-            return total, pieces
-        young, old = self.young, self.old
-        for word in self.word.findall(" " + text.replace(SPACE, " ")):
-            got = young.get(word)
-            if got is None:
-                got = old.get(word) or self.segment(word)
-                if len(word) <= 64:
-                    if len(young) >= REMEMBERED:
-                        self.old = old = young
-                        self.young = young = {}
-                    young[sys.intern(word) if len(word) < 8 else word] = got
-            total += got[0]
-            pieces += got[1]
-        return total, pieces
+            return 0.0, 0
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = list(map(self.known.__getitem__, self.word.findall(" " + text.replace(SPACE, " "))))
+        return sum([s for s, _ in found]), sum([n for _, n in found])
 
 
 def counted(pieces):
