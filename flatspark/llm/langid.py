@@ -33,8 +33,8 @@ BATCH = 512
 HELD_OUT = 5
 #: Windows that run side by side; a long text takes several runs.
 SIDE = 8192
-#: The pipeline rejects texts without letters and those whose best language is less likely than this.
-REJECT = 0.3
+#: The pipeline rejects texts without letters, and those whose best language is not this much of the way from an even guess to certainty.
+REJECT = 0.1
 
 
 def gate(x, out=None):
@@ -235,9 +235,15 @@ def predicted(net):
 
 def kept(net, least: float):
     def run(batches):
+        n = len(net.value.labels)
         for batch in batches:
             names, score = judged(net.value, batch.column("text"))
-            yield batch.filter(pa.array([n != "und" for n in names], pa.bool_())).filter(pa.array(score[[n != "und" for n in names]] >= least)) if len(batch) else batch
+            named = np.array([name != "und" for name in names], dtype=bool)
+            if n > 1:
+                stays = named & (score >= 1 / n + least * (1 - 1 / n))
+            else:
+                stays = named if n else score < 1
+            yield batch.filter(pa.array(stays))
 
     return run
 
@@ -263,7 +269,10 @@ def identify(documents: DataFrame, label: str = "lang") -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, label: str = "lang", least: float = REJECT) -> DataFrame:
-    """The documents with letters whose best language has a probability of ``least`` or more; same columns."""
+    """The documents with letters whose best language stands out by ``least`` from an even guess; same columns.
+
+    A null or empty text, or one without a letter, goes; if fewer than two languages are learned, other texts stay.
+    """
     net = documents.sparkSession.sparkContext.broadcast(fit(documents, label))
     return documents.transform(mapped, kept(net, least), documents.schema)
 
