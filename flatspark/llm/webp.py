@@ -37,8 +37,9 @@ class FormatError(ValueError):
     """Bytes that are no valid lossless image."""
 
 
-#: A walk over symbols takes 2 to this power of them in a step.
+#: A walk over symbols takes 2 to this power of them in a step, over so many bytes at a time.
 JUMPS = 5
+PART = 1 << 17
 
 
 class Bits:
@@ -227,69 +228,42 @@ def read_green(bits: Bits, width: int, n: int, codes: list[Code], cache: int) ->
     """
     green, red, blue, alpha, distance = codes
     base = alpha.only << 24 | red.only << 16 | blue.only
-    start = bits.at >> 3
-    size = len(bits.data) - start
-    raw = np.frombuffer(bits.data[start:] + bytes(16), dtype=np.uint8)
-    words = np.ndarray((size + 8,), "<u8", raw, strides=(1,))
-    near = np.ndarray((size,), "<u4", raw, strides=(1,))[:, None] >> np.arange(8, dtype=np.uint32)
-    index = (near & np.uint32((1 << green.longest) - 1)).astype(np.uint16).ravel()
-    step = (green.array & 15).astype(np.uint8)[index].astype(np.int32)
-
-    def ahead(place: np.ndarray, count: np.ndarray) -> np.ndarray:
-        place = np.minimum(place, 8 * size)
-        return ((words[place >> 3] >> (place & 7).astype(np.uint64)) & ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-
-    def grown(prefix: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A length or distance, and the bit behind it."""
-        count = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-        return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << count) + ahead(place, count)) + 1, place + count
-
-    symbols_of = green.array >> 4
-    refers = np.flatnonzero(((symbols_of >= 256) & (symbols_of < 280))[index])
-    length, place = grown(symbols_of[index[refers]] - 256, refers + step[refers])
-    far = distance.array[ahead(place, np.full(len(place), distance.longest))]
-    far, place = grown(far >> 4, place + (far & 15))
-    step[refers] = place - refers
-    # The walk takes 2 ** JUMPS symbols at a time; those between are looked up together.
-    end = bits.n - 8 * start
-    step = step[: end + 1] if end < 8 * size else np.append(step, np.int32(0))
-    leaps = [np.minimum(np.arange(end + 1, dtype=np.int32) + step, np.int32(end))]
-    for _ in range(JUMPS):
-        leaps.append(leaps[-1][leaps[-1]])
-    at, path = bits.at & 7, []
-    leap = leaps.pop().item
-    while at < end:
-        path.append(at)
-        at = leap(at)
-    path = np.array(path, dtype=np.int32)
-    for leap in reversed(leaps):
-        path = np.stack([path, leap[path]], axis=1).ravel()
-    path = path[: int(np.searchsorted(path, end))]
-    found = symbols_of[index[path]]
-    many = np.ones(len(path), dtype=np.int64)
-    repeat = np.flatnonzero((found >= 256) & (found < 280))
-    which = np.searchsorted(refers, path[repeat])
-    many[repeat] = length[which]
-    total = np.cumsum(many)
-    last = int(np.searchsorted(total, n))
-    if last == len(total) or total[last] != n or path[last] + step[path[last]] > end:
-        raise FormatError("the data end early, or a back-reference is out of range")
-    found, repeat = found[: last + 1], repeat[repeat <= last]
+    place, total = bits.at, 0
+    parts: list[tuple] = []
+    while total < n:
+        found, length, far, steps = green_symbols(bits, place, green, distance)
+        many = np.ones(len(found), dtype=np.int64)
+        many[(found >= 256) & (found < 280)] = length
+        sums = np.cumsum(many) + total
+        last = int(np.searchsorted(sums, n))
+        if not len(found) or (last < len(sums) and sums[last] != n):
+            raise FormatError("the data end early, or a back-reference is out of range")
+        if last < len(found):
+            found, steps = found[: last + 1], steps[: last + 1]
+            kept = np.count_nonzero((found >= 256) & (found < 280))
+            length, far = length[:kept], far[:kept]
+        total = int(sums[len(found) - 1])
+        place += int(steps.sum())
+        parts.append((found, length, far))
+    if place > bits.n:
+        raise FormatError("the data end early")
+    found, length, far = (np.concatenate(x) for x in zip(*parts))
     values = found.astype(np.uint8)
     hits = np.flatnonzero(found >= 280)
     if len(hits):
-        seen = np.unique(found[found < 256])
-        slots = (MULTIPLIER * (base | seen.astype(np.int64) << 8) & 0xFFFFFFFF) >> (32 - cache)
+        seen = np.unique(found[found < 256]).astype(np.int64)
+        slots = (MULTIPLIER * (base | seen << 8) & 0xFFFFFFFF) >> (32 - cache)
         holds = np.full(1 << cache, -1)
         holds[slots] = seen
         asked = holds[found[hits] - 280]
-        if len(np.unique(slots)) < len(slots) or (len(asked) and asked.min() < 0):
+        if len(np.unique(slots)) < len(slots) or asked.min() < 0:
             return None
         values[hits] = asked
-    bits.at = 8 * start + int(path[last] + step[path[last]])
+    bits.at = place
+    repeat = np.flatnonzero((found >= 256) & (found < 280))
     if len(repeat):
         literal, out, before = values.tobytes(), bytearray(), 0
-        for i, size, back in zip(repeat.tolist(), length[which].tolist(), far[which].tolist()):
+        for i, size, back in zip(repeat.tolist(), length.tolist(), far.tolist()):
             out += literal[before:i]
             before, done, back = i + 1, len(out), away(back, width)
             if back > done:
@@ -299,6 +273,51 @@ def read_green(bits: Bits, width: int, n: int, codes: list[Code], cache: int) ->
     return values.astype(np.uint32) << np.uint32(8) | np.uint32(base)
 
 
+def green_symbols(bits: Bits, place: int, green: Code, distance: Code) -> tuple[np.ndarray, ...]:
+    """The symbols from a bit on that begin in the next ``PART`` bytes, the lengths and distances of references, and the bits of each."""
+    start = place >> 3
+    size = max(0, min(PART, len(bits.data) - start))
+    raw = np.frombuffer(bits.data[start : start + size + 16] + bytes(16), dtype=np.uint8)
+    words = np.ndarray((size + 9,), "<u8", raw, strides=(1,))
+    near = np.ndarray((size,), "<u4", raw, strides=(1,))[:, None] >> np.arange(8, dtype=np.uint32)
+    index = (near & np.uint32((1 << green.longest) - 1)).astype(np.uint16).ravel()
+    step = (green.array & 15).astype(np.uint8)[index].astype(np.int32)
+
+    def ahead(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return ((words[at >> 3] >> (at & 7).astype(np.uint64)) & ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+    def grown(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A length or distance, and the bit behind it."""
+        count = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+        return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << count) + ahead(at, count)) + 1, at + count
+
+    symbols_of = green.array >> 4
+    refers = np.flatnonzero(((symbols_of >= 256) & (symbols_of < 280))[index])
+    length, at = grown(symbols_of[index[refers]] - 256, refers + step[refers])
+    far = distance.array[ahead(at, np.full(len(at), distance.longest))]
+    far, at = grown(far >> 4, at + (far & 15))
+    step[refers] = at - refers
+    # The walk takes 2 ** JUMPS symbols at a time; those between are looked up together.
+    end = min(8 * size, bits.n - 8 * start)
+    at, path = place & 7, []
+    if at < end:
+        leaps = [np.minimum(np.arange(end + 1, dtype=np.int32) + (step[: end + 1] if end < 8 * size else np.append(step, np.int32(0))), np.int32(end))]
+        for _ in range(JUMPS):
+            leaps.append(leaps[-1][leaps[-1]])
+        leap = leaps.pop().item
+        while at < end:
+            path.append(at)
+            at = leap(at)
+    path = np.array(path, dtype=np.int32)
+    if len(path):
+        for leap in reversed(leaps):
+            path = np.stack([path, leap[path]], axis=1).ravel()
+        path = path[: int(np.searchsorted(path, end))]
+    found = symbols_of[index[path]]
+    which = np.searchsorted(refers, path[(found >= 256) & (found < 280)])
+    return found, length[which], far[which], step[path]
+
+
 def read_symbols(bits: Bits, width: int, n: int, codes, cache: int, tile, step: int) -> np.ndarray:
     out = [0] * n
     colours = [0] * ((1 << cache) if cache else 0)
@@ -738,6 +757,8 @@ MOST, CACHE = 12, 10
 LONGEST = 4096
 #: Cache places of green residuals of 0 to 255, by opacity; with so many bits all differ.
 PLACES = (MULTIPLIER * (np.array([[0], [255]]) << 24 | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - CACHE)
+#: Longer strings are written in pieces of so many bytes.
+LONG, PIECE = 1 << 20, 1 << 18
 #: What ``encode_grey`` does with an image; the kind follows from its bytes alone.
 KINDS = ("palette", "green and references", "predictor, green and cache", "cross-colour, references and cache")
 
@@ -800,6 +821,117 @@ def even_image(height: int, width: int, colour: int) -> tuple[int, int]:
     return int.from_bytes(w.bytes(), "little"), w.size()
 
 
+def begun(w: Writer, payload: np.ndarray, width: int, kind: int) -> np.ndarray:
+    """Writes what comes before the prefix codes; gives the green channel that they are for."""
+    height = len(payload) // width
+    put_header(w, width, height)
+    left = payload
+    if kind == 2:
+        square = payload.reshape(height, width)
+        tries = [edged(square, m) for m in (0, 1, 2)]
+        weight = [float(np.square(np.bincount(x.ravel(), minlength=256), dtype=np.float64).sum()) for x in tries]
+        mode = weight.index(max(weight))
+        w.put(1 | PREDICTOR << 1 | 7 << 3, 6)
+        w.put(*even_image(-(-height >> 9), -(-width >> 9), mode << 8))
+        left = tries[mode].ravel()
+    if kind == 3:
+        # Red and blue less green: a factor of one is 32, for green to red and green to blue.
+        w.put(1 | CROSS << 1 | 7 << 3, 6)
+        w.put(*even_image(-(-height >> 9), -(-width >> 9), 32 << 8 | 32))
+    else:
+        w.put(1 | GREEN << 1, 3)
+    w.put(0, 1)
+    w.put(kind != 1, 1)
+    if kind != 1:
+        w.put(CACHE, 4)
+    w.put(0, 1)
+    return left
+
+
+#: Symbols of the green code, with those of the cache.
+GREENS = 280 + (1 << CACHE)
+
+
+class Tokens:
+    """Literals, cache hits and references of runs of bytes, as arrays.
+
+    ``row``: the run of each byte, ``stop``: where runs end, ``seen``: which shades a run (256 of each) has had.
+    """
+
+    def __init__(self, green: np.ndarray, row: np.ndarray, kinds: np.ndarray, widths: list[int], stop: np.ndarray, seen: np.ndarray):
+        symbol = green.astype(np.int32)
+        # Greys have a place each in the cache (PLACES), so a pixel is in it if it has been in its run before.
+        cached = np.flatnonzero((kinds >= 2)[row])
+        shade = row[cached] << 8 | green[cached]
+        first = np.zeros(len(seen), dtype=np.int64)
+        first[shade[::-1]] = cached[::-1]
+        first[seen] = -1
+        hit = cached[cached > first[shade]]
+        seen[shade] = True
+        symbol[hit] = 280 + PLACES[kinds[row[hit]] & 1, green[hit]]
+        repeats = np.array(references(green, row, np.where(kinds % 2 == 1, stop, 0)[row]), dtype=np.int64).reshape(-1, 3)
+        start = repeats[:, 0]
+        length, self.more, self.bits = prefixes(repeats[:, 1])
+        inside = np.zeros(len(green) + 1, dtype=np.int8)
+        inside[start] += 1
+        inside[start + repeats[:, 1]] -= 1
+        token = (np.cumsum(inside[:-1], dtype=np.int8) == 0) & (kinds > 0)[row]
+        token[start] = True
+        symbol[start] = 256 + length
+        codes = np.array([near_codes(widths[r]).get(far, far + 120) for r, far in zip(row[start].tolist(), repeats[:, 2].tolist())], dtype=np.int64)
+        distance, self.far_more, self.far_bits = prefixes(codes)
+        self.at = np.flatnonzero(token)
+        self.row = row[self.at]
+        self.refers = np.searchsorted(self.at, start)
+        self.place, self.far_place = self.row.astype(np.int64) * GREENS + symbol[self.at], row[start].astype(np.int64) * 40 + distance
+
+    def counts(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each row has each symbol, and each prefix of a distance."""
+        return np.bincount(self.place, minlength=rows * GREENS).reshape(rows, GREENS), np.bincount(self.far_place, minlength=rows * 40).reshape(rows, 40)
+
+    def written(self, codes) -> tuple[np.ndarray, np.ndarray]:
+        """One number of at most 58 bits for each token (word, extra bits, and those of the distance), and its bits."""
+        word, wide, far_word, far_wide = (c.ravel() for c in codes)
+        value, n_bits = word[self.place], wide[self.place]
+        refers = self.refers
+        for part, bits in ((self.more.astype(np.uint64), self.bits), (far_word[self.far_place], far_wide[self.far_place]), (self.far_more.astype(np.uint64), self.far_bits)):
+            value[refers] |= part << n_bits[refers].astype(np.uint64)
+            n_bits[refers] += bits
+        return value, n_bits
+
+
+def empty_codes(rows: int) -> tuple[np.ndarray, ...]:
+    return np.zeros((rows, GREENS), dtype=np.uint64), np.zeros((rows, GREENS), dtype=np.int64), np.zeros((rows, 40), dtype=np.uint64), np.zeros((rows, 40), dtype=np.int64)
+
+
+def put_codes(w: Writer, kind: int, counts: np.ndarray, far_counts: np.ndarray, codes, i: int) -> None:
+    """Writes the five codes of an image; their words and lengths go to row ``i`` of ``codes``."""
+
+    def fill(own: np.ndarray, words_to: np.ndarray, wide_to: np.ndarray) -> None:
+        used, words, lengths = put_counts(w, own, MOST)
+        words_to[used], wide_to[used] = words, lengths
+
+    fill(counts[: 280 if kind == 1 else GREENS], codes[0][i], codes[1][i])
+    for constant in (0, 0, 0 if kind == 2 else 255):
+        put_code(w, [constant], [1], 256)
+    fill(far_counts, codes[2][i], codes[3][i])
+
+
+def add_bits(buffer: np.ndarray, value: np.ndarray, n_bits: np.ndarray, begin: np.ndarray) -> None:
+    """Puts numbers into a buffer, each from a bit on; no two share a bit, so sums are unions."""
+    shift, first = (begin & 7).astype(np.uint64), begin >> 3
+    low, width_of = value << shift, n_bits + (begin & 7)
+    for k in range(9):
+        if k:
+            long = np.flatnonzero(width_of > 8 * k)
+            low, first, width_of, shift, value = low[long], first[long], width_of[long], shift[long], value[long]
+        part = (low >> np.uint64(8 * k)) & np.uint64(255) if k < 8 else value >> (np.uint64(64) - shift)
+        if len(part):
+            lowest = int(first[0]) + k
+            sums = np.bincount(first + (k - lowest), weights=part.astype(np.float64)).astype(np.uint8)
+            buffer[lowest : lowest + len(sums)] += sums
+
+
 def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> list[bytes]:
     """A file for each run of bytes between offsets, a grey pixel for each byte."""
     rows = len(widths)
@@ -807,95 +939,64 @@ def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> lis
     kinds, heads = np.zeros(rows, dtype=np.int64), [Writer() for _ in range(rows)]
     for i in range(rows):
         payload, width = data[offsets[i] : offsets[i + 1]], widths[i]
-        kinds[i] = kind = kind_of(payload)
-        height = len(payload) // width
+        kind = kind_of(payload)
         if kind == 0:
             files[i] = encode(grey(payload, width), [(PALETTE,)])
-            continue
-        w = heads[i]
-        put_header(w, width, height)
-        if kind == 2:
-            square = payload.reshape(height, width)
-            tries = [edged(square, m) for m in (0, 1, 2)]
-            weight = [float(np.square(np.bincount(x.ravel(), minlength=256), dtype=np.float64).sum()) for x in tries]
-            mode = weight.index(max(weight))
-            w.put(1 | PREDICTOR << 1 | 7 << 3, 6)
-            w.put(*even_image(-(-height >> 9), -(-width >> 9), mode << 8))
-            green[offsets[i] : offsets[i + 1]] = tries[mode].ravel()
-        if kind == 3:
-            # Red and blue less green: a factor of one is 32, for green to red and green to blue.
-            w.put(1 | CROSS << 1 | 7 << 3, 6)
-            w.put(*even_image(-(-height >> 9), -(-width >> 9), 32 << 8 | 32))
+        elif len(payload) > LONG:
+            files[i] = encode_long(payload, width, kind)
         else:
-            w.put(1 | GREEN << 1, 3)
-        w.put(0, 1)
-        w.put(kind != 1, 1)
-        if kind != 1:
-            w.put(CACHE, 4)
-        w.put(0, 1)
+            kinds[i] = kind
+            green[offsets[i] : offsets[i + 1]] = begun(heads[i], payload, width, kind)
+    chosen = np.flatnonzero(kinds).tolist()
+    if not chosen:
+        return files
     row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
-    symbol = green.astype(np.int32)
-    # Greys have a place each in the cache (PLACES), so a pixel is in it if it has been in its row before.
-    cached = np.flatnonzero((kinds >= 2)[row])
-    shade = row[cached] << 8 | green[cached]
-    first = np.zeros(rows << 8, dtype=np.int64)
-    first[shade[::-1]] = cached[::-1]
-    hit = cached[cached > first[shade]]
-    symbol[hit] = 280 + PLACES[kinds[row[hit]] & 1, green[hit]]
-    repeats = np.array(references(green, row, np.where(kinds % 2 == 1, offsets[1:], 0)[row]), dtype=np.int64).reshape(-1, 3)
-    start, length, more, bits = repeats[:, 0], *prefixes(repeats[:, 1])
-    inside = np.zeros(len(data) + 1, dtype=np.int8)
-    inside[start] += 1
-    inside[start + repeats[:, 1]] -= 1
-    token = (np.cumsum(inside[:-1], dtype=np.int8) == 0) & (kinds > 0)[row]
-    token[start] = True
-    symbol[start] = 256 + length
-    codes = np.array([near_codes(widths[r]).get(far, far + 120) for r, far in zip(row[start].tolist(), repeats[:, 2].tolist())], dtype=np.int64)
-    distance, far_more, far_bits = prefixes(codes)
-
-    def fill(w: Writer, own: np.ndarray, words_to: np.ndarray, wide_to: np.ndarray) -> None:
-        """Writes a code and puts its words and their lengths into arrays."""
-        used, words, lengths = put_counts(w, own, MOST)
-        words_to[used], wide_to[used] = words, lengths
-
-    size = 280 + (1 << CACHE)
-    at = np.flatnonzero(token)
-    own = row[at]
-    place, far_place = own.astype(np.int64) * size + symbol[at], row[start].astype(np.int64) * 40 + distance
-    counts = np.bincount(place, minlength=rows * size).reshape(rows, size)
-    far_counts = np.bincount(far_place, minlength=rows * 40).reshape(rows, 40)
-    word, wide = np.zeros((rows, size), dtype=np.uint64), np.zeros((rows, size), dtype=np.int64)
-    far_word, far_wide = np.zeros((rows, 40), dtype=np.uint64), np.zeros((rows, 40), dtype=np.int64)
-    for i in np.flatnonzero(kinds).tolist():
-        w = heads[i]
-        fill(w, counts[i, : 280 if kinds[i] == 1 else size], word[i], wide[i])
-        for constant in (0, 0, 0 if kinds[i] == 2 else 255):
-            put_code(w, [constant], [1], 256)
-        fill(w, far_counts[i], far_word[i], far_wide[i])
-    # One number of at most 58 bits for each token: word, extra bits, and those of the distance.
-    value, n_bits = word.ravel()[place], wide.ravel()[place]
-    refers = np.searchsorted(at, start)
-    for part, part_bits in ((more.astype(np.uint64), bits), (far_word.ravel()[far_place], far_wide.ravel()[far_place]), (far_more.astype(np.uint64), far_bits)):
-        value[refers] |= part << n_bits[refers].astype(np.uint64)
-        n_bits[refers] += part_bits
+    tokens = Tokens(green, row, kinds, widths, offsets[1:], np.zeros(rows << 8, dtype=bool))
+    counts, far_counts = tokens.counts(rows)
+    codes = empty_codes(rows)
+    for i in chosen:
+        put_codes(heads[i], int(kinds[i]), counts[i], far_counts[i], codes, i)
+    value, n_bits = tokens.written(codes)
     head_bits = np.array([w.size() for w in heads], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(n_bits)])
-    bounds = ends[np.searchsorted(at, offsets)]
+    bounds = ends[np.searchsorted(tokens.at, offsets)]
     base = np.concatenate([[0], np.cumsum((head_bits + np.diff(bounds) + 7) >> 3)])
-    begin = (base[:-1] * 8 + head_bits - bounds[:-1])[own] + ends[:-1]
+    begin = (base[:-1] * 8 + head_bits - bounds[:-1])[tokens.row] + ends[:-1]
     buffer = np.zeros(int(base[-1]) + 9, dtype=np.uint8)
-    shift, first, spread = (begin & 7).astype(np.uint64), begin >> 3, value
-    low, width_of = spread << shift, n_bits + (begin & 7)
-    for k in range(9):
-        if k:
-            long = np.flatnonzero(width_of > 8 * k)
-            low, first, width_of, shift, spread = low[long], first[long], width_of[long], shift[long], spread[long]
-        part = (low >> np.uint64(8 * k)) & np.uint64(255) if k < 8 else spread >> (np.uint64(64) - shift)
-        if len(part):
-            # Tokens share no bit, so sums are unions.
-            buffer += np.bincount(first + k, weights=part.astype(np.float64), minlength=len(buffer)).astype(np.uint8)
-    for i in np.flatnonzero(kinds).tolist():
+    add_bits(buffer, value, n_bits, begin)
+    for i in chosen:
         head = np.frombuffer(heads[i].bytes(), dtype=np.uint8)
         buffer[base[i] : base[i] + len(head)] += head
         files[i] = riff(buffer[base[i] : base[i + 1]].tobytes())
     return files
+
+
+def encode_long(payload: np.ndarray, width: int, kind: int) -> bytes:
+    """As :func:`encode_grey`, of one run and piece by piece: symbols are made twice, to count and to write them."""
+    w, kinds = Writer(), np.array([kind])
+    green = begun(w, payload, width, kind)
+
+    def pieces():
+        seen = np.zeros(256, dtype=bool)
+        for lo in range(0, len(green), PIECE):
+            part = green[lo : lo + PIECE]
+            yield Tokens(part, np.zeros(len(part), dtype=np.int32), kinds, [width], np.array([len(part)]), seen)
+
+    counts, far_counts = np.zeros((1, GREENS), dtype=np.int64), np.zeros((1, 40), dtype=np.int64)
+    for tokens in pieces():
+        for total, own in zip((counts, far_counts), tokens.counts(1)):
+            total += own
+    codes = empty_codes(1)
+    put_codes(w, kind, counts[0], far_counts[0], codes, 0)
+    at = w.size()
+    out = bytearray(w.bytes())
+    for tokens in pieces():
+        value, n_bits = tokens.written(codes)
+        ends = np.cumsum(n_bits)
+        buffer = np.zeros(((at & 7) + int(ends[-1]) + 7 >> 3) + 9, dtype=np.uint8)
+        add_bits(buffer, value, n_bits, (at & 7) + ends - n_bits)
+        if at & 7:
+            buffer[0] += out.pop()
+        at += int(ends[-1])
+        out += buffer[: (at + 7 >> 3) - len(out)].tobytes()
+    return riff(bytes(out))

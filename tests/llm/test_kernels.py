@@ -179,6 +179,16 @@ def test_webp_grey_strings_round_trip():
         assert file == webp.encode_grey(p, np.array([0, len(p)]), [64])[0]  # no matter what stands beside
 
 
+@pytest.mark.parametrize("piece", [37, 512, 5000])
+def test_webp_long_strings_come_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(webp, "LONG", 64)
+    monkeypatch.setattr(webp, "PIECE", piece)
+    monkeypatch.setattr(webp, "PART", piece // 4)
+    for g in GREY:
+        p = np.frombuffer(g + bytes(-len(g) % 64), np.uint8)
+        assert (webp.decode(webp.encode_grey(p, np.array([0, len(p)]), [64])[0]) == webp.grey(p, 64)).all()
+
+
 def test_webp_green_walk_equals_reading_symbols(monkeypatch):
     own = [np.frombuffer(g + bytes(-len(g) % 64), np.uint8) for g in GREY]
     files = [webp.encode_grey(p, np.array([0, len(p)]), [64])[0] for p in own]
