@@ -29,7 +29,7 @@ from .webp import FormatError, channels, decode, encode_grey
 UNIT = 64
 TALLEST = 1 << 14
 #: Bytes of texts that are written together, about.
-WRITTEN = 1 << 18
+WRITTEN = 1 << 16
 
 
 def payload_size(n_bytes: int) -> int:

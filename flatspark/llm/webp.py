@@ -39,7 +39,7 @@ class FormatError(ValueError):
 
 #: A walk over symbols takes 2 to this power of them in a step, over so many bytes at a time.
 JUMPS = 5
-PART = 1 << 17
+PART = 1 << 14
 
 
 class Bits:
