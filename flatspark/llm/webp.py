@@ -148,18 +148,22 @@ def read_code(bits: Bits, size: int) -> Code:
             lengths[s] = 1
         return Code(lengths)
     own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[ORDER[i]] = bits.read(3)
+    n = 4 + bits.read(4)
+    packed_lengths = bits.read(3 * n)
+    for i in range(n):
+        own[ORDER[i]] = packed_lengths >> 3 * i & 7
     code = small_code(tuple(own))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     at, before = 0, 8
-    # All that the lengths may take, at most 14 bits for each.
-    acc, place = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + (size * 14 >> 3) + 2], "little") >> (bits.at & 7), bits.at
+    place, have, acc = bits.at, 0, 0
     table, mask = code.table, (1 << code.longest) - 1
     while at < size and left:
         left -= 1
+        if place + 14 > have:  # a symbol takes at most 14 bits
+            acc = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 48], "little") >> (place & 7)
+            have = (place & ~7) + 8 * 48
         e = table[acc & mask]
         acc >>= e & 15
         place += e & 15
@@ -575,6 +579,8 @@ def lengths_of(symbols: list[int], counts: list[int], most: int = 15) -> list[in
 #: The code in which lengths are written: four bits for those to 12, five for the others. Complete.
 OF_LENGTHS = [4] * 13 + [5] * 6
 LENGTH_WORDS = canonical(OF_LENGTHS)
+#: How a code with lengths opens, and its bits: no simple code, 19 lengths of the code of lengths, all symbols follow.
+OPENING = (15 << 1 | sum(OF_LENGTHS[s] << (5 + 3 * i) for i, s in enumerate(ORDER)), 5 + 3 * len(ORDER) + 1)
 
 
 def put_code(w: Writer, symbols: list[int], lengths: list[int], size: int) -> list[int]:
@@ -582,11 +588,7 @@ def put_code(w: Writer, symbols: list[int], lengths: list[int], size: int) -> li
     if len(symbols) <= 1 and (not symbols or symbols[0] < 256):
         w.put(5 | (symbols[0] if symbols else 0) << 3, 11)  # a simple code of one symbol with 8 bits
         return [0] * len(symbols)
-    acc, n = 15 << 1, 5
-    for s in ORDER:
-        acc |= OF_LENGTHS[s] << n
-        n += 3
-    n += 1
+    acc, n = OPENING
     zero = LENGTH_WORDS[0]
     before = -1
     for s, length in zip([*symbols, size], [*lengths, -1]):
