@@ -7,7 +7,8 @@ last row filled with zeros. ``to_media`` writes files, ``pixels_of`` decodes fil
 several pixels in one; of the others a third each has back-references after the subtraction of green, a
 predictor and a colour cache, and the cross-colour transform with references and cache (webp.py).
 
-Texts pass one after another, in slices of about a megabyte; nothing is shuffled or gathered.
+Texts pass in slices of about 64 kB, their files in groups of about half a megabyte, a longer one alone;
+nothing is shuffled or gathered.
 
 Defined results: a null or empty text has 64 zero bytes as its payload; equal texts have equal values;
 repeated rows give repeated results; bytes that are no lossless WebP give null pixels; a text over the
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import mapped, table
 from .textops import slices, text_buffer
-from .webp import FormatError, channels, decode, encode_grey
+from .webp import FormatError, channels, decode, decode_all, encode_grey
 
 UNIT = 64
 TALLEST = 1 << 14
 #: Bytes of texts that are written together, about.
 WRITTEN = 1 << 16
+#: Bytes of files and their texts that are read together, about.
+READ = 1 << 19
 
 
 def payload_size(n_bytes: int) -> int:
@@ -58,13 +61,20 @@ def write_media(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
+def decoded(batch):
+    """n_bytes, file and pixels of each row; files are decoded in groups of about ``READ`` bytes with their texts."""
+    sizes = batch.column("n_bytes").to_numpy()
+    _, ends = text_buffer(batch.column("media"))
+    for lo, hi in slices(ends + np.append(0, np.cumsum(sizes)), READ):
+        files = batch.column("media").slice(lo, hi - lo).to_pylist()
+        yield from zip(sizes[lo:hi].tolist(), files, decode_all(files))
+
+
 def read_features(batches):
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
         out: list[list] = [[] for _ in names[2:]]
-        for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media")):
-            media = media.as_py()
-            pixels = decode(media)
+        for n, media, pixels in decoded(batch):
             payload = channels(pixels)[..., 1].reshape(-1)[: payload_size(n)]
             raw = payload.tobytes()
             sums = payload.reshape(-1, 4).sum(axis=0, dtype=np.int64).tolist()

@@ -5,6 +5,8 @@ inverts the predictor, cross-colour, subtract-green and palette transforms. Pixe
 numbers in a (height, width) array. Prefix codes are read symbol by symbol; where only the green channel
 varies, which is so for grey images after the right transforms, a symbol is one step of a short loop.
 
+``decode_all`` reads such images of many files side by side, in lanes of bits that step together.
+
 ``encode`` writes any image. ``encode_grey`` writes many byte strings as grey images at once: symbols,
 back-references, cache hits and bits of all of them come from array operations; the prefix codes are
 those of each image alone.
@@ -42,6 +44,14 @@ JUMPS = 5
 PART = 1 << 14
 
 
+#: Bits of a lane of images that are read together, how many earlier it starts, and how often lanes are walked.
+LANE, LEAD, ROUNDS = 1024, 192, 4
+#: Zero bytes behind the images, over which lanes may run; a bit behind all; bytes of an image that is read alone.
+SLACK, BEHIND, ALONE = 128, (1 << 31) - 1, 1 << 17
+#: Bytes of images that are read together, at most; the places of their bits are 32-bit numbers.
+TOGETHER = 1 << 26
+
+
 class Bits:
     """Reads numbers from the lowest bit on."""
 
@@ -65,22 +75,23 @@ class Code:
     """A prefix code by its lengths. ``array``: by the next ``longest`` bits, symbol * 16 + length."""
 
     def __init__(self, lengths):
-        used = [s for s, n in enumerate(lengths) if n]
+        lengths = np.frombuffer(bytes(lengths), dtype=np.uint8)
+        used = np.flatnonzero(lengths)
         self.longest, self._table = 0, None
         if len(used) <= 1:
-            self.only = used[0] if used else 0
+            self.only = int(used[0]) if len(used) else 0
             self.array = np.array([self.only << 4], dtype=np.int32)
             return
         self.only = None
-        self.longest = longest = max(lengths)
-        size = 1 << longest
-        if sum(size >> lengths[s] for s in used) != size:
-            raise FormatError("a prefix code is not complete")
+        size_of = lengths[used].astype(np.int64)
+        self.longest = longest = int(size_of.max())
         # Words in order fill the table from its start, if the first bit of a word is the highest.
-        size_of = np.array([lengths[s] for s in used])
         order = np.argsort(size_of, kind="stable")
-        entries = (np.array(used) << 4 | size_of)[order].astype(np.int32)
-        self.array = np.repeat(entries, 1 << (longest - size_of[order]))[turned_places(longest)]
+        many = 1 << (longest - size_of[order])
+        if many.sum() != 1 << longest:
+            raise FormatError("a prefix code is not complete")
+        entries = (used << 4 | size_of)[order].astype(np.int32)
+        self.array = np.repeat(entries, many)[turned_places(longest)]
 
     @property
     def table(self) -> list[int]:
@@ -117,6 +128,11 @@ def turned_places(n: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=None)
+def turned_words(n: int) -> list[int]:
+    return turned_places(n).tolist()
+
+
 #: The bits of a byte in reverse.
 TURNED = [int(f"{b:08b}"[::-1], 2) for b in range(256)]
 
@@ -136,7 +152,11 @@ def canonical(lengths) -> dict[int, int]:
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
+    lengths = bytearray(size)
+    simple = bits.peek(11)
+    if simple & 7 == 5 and bits.at + 11 <= bits.n and simple >> 3 < size:
+        bits.at += 11
+        return single(simple >> 3)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
@@ -180,7 +200,7 @@ def read_code(bits: Bits, size: int) -> Code:
         if at + n > size:
             raise FormatError("code lengths run over")
         if s == 16:
-            lengths[at : at + n] = [before] * n
+            lengths[at : at + n] = bytes((before,)) * n
         at += n
     bits.at = place
     if place > bits.n:
@@ -196,8 +216,8 @@ def number(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image."""
+def image_head(bits: Bits, width: int, height: int, main: bool) -> tuple:
+    """Bits of the colour cache, the codes of each group, and the group of each tile with the bits of its size."""
     cache = bits.read(4) if bits.read(1) else 0
     if cache > 11:
         raise FormatError("the colour cache is too large")
@@ -207,8 +227,18 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tile = (read_image(bits, -(-width >> step), -(-height >> step), False) >> 8) & 0xFFFF
         groups = int(tile.max()) + 1
     codes = [[read_code(bits, n) for n in (280 + ((1 << cache) if cache else 0), 256, 256, 256, 40)] for _ in range(groups)]
+    return cache, codes, tile, step
+
+
+def only_green(codes: list[list[Code]], tile) -> bool:
+    return tile is None and codes[0][0].only is None and all(c.only is not None for c in codes[0][1:4])
+
+
+def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image."""
+    cache, codes, tile, step = image_head(bits, width, height, main)
     n, pixels = width * height, None
-    if main and tile is None and codes[0][0].only is None and all(c.only is not None for c in codes[0][1:4]):
+    if main and only_green(codes, tile):
         pixels = read_green(bits, width, n, codes[0], cache)
     if pixels is None:
         pixels = read_symbols(bits, width, n, codes, cache, tile, step)
@@ -230,8 +260,7 @@ def read_green(bits: Bits, width: int, n: int, codes: list[Code], cache: int) ->
     first bit then meets the symbols. A cache place is known without an order if no two of the file's
     colours share one.
     """
-    green, red, blue, alpha, distance = codes
-    base = alpha.only << 24 | red.only << 16 | blue.only
+    green, distance = codes[0], codes[4]
     place, total = bits.at, 0
     parts: list[tuple] = []
     while total < n:
@@ -251,19 +280,27 @@ def read_green(bits: Bits, width: int, n: int, codes: list[Code], cache: int) ->
         parts.append((found, length, far))
     if place > bits.n:
         raise FormatError("the data end early")
-    found, length, far = (np.concatenate(x) for x in zip(*parts))
+    pixels = green_pixels(*(np.concatenate(x) for x in zip(*parts)), width, codes, cache)
+    if pixels is not None:
+        bits.at = place
+    return pixels
+
+
+def green_pixels(found: np.ndarray, length: np.ndarray, far: np.ndarray, width: int, codes: list[Code], cache: int) -> np.ndarray | None:
+    """Pixels of symbols, lengths and distances; None if the cache needs an order."""
+    _, red, blue, alpha, _ = codes
+    base = alpha.only << 24 | red.only << 16 | blue.only
     values = found.astype(np.uint8)
     hits = np.flatnonzero(found >= 280)
     if len(hits):
-        seen = np.unique(found[found < 256]).astype(np.int64)
+        seen = np.flatnonzero(np.bincount(found, minlength=256)[:256])
         slots = (MULTIPLIER * (base | seen << 8) & 0xFFFFFFFF) >> (32 - cache)
         holds = np.full(1 << cache, -1)
         holds[slots] = seen
         asked = holds[found[hits] - 280]
-        if len(np.unique(slots)) < len(slots) or asked.min() < 0:
+        if np.count_nonzero(holds >= 0) < len(slots) or asked.min() < 0:
             return None
         values[hits] = asked
-    bits.at = place
     repeat = np.flatnonzero((found >= 256) & (found < 280))
     if len(repeat):
         literal, out, before = values.tobytes(), bytearray(), 0
@@ -277,6 +314,17 @@ def read_green(bits: Bits, width: int, n: int, codes: list[Code], cache: int) ->
     return values.astype(np.uint32) << np.uint32(8) | np.uint32(base)
 
 
+def ahead(words: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """So many bits from a bit on; ``words``: the 64 bits from each byte on."""
+    return ((words[at >> 3] >> (at & 7).astype(np.uint64)) & ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+
+def grown(words: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A length or distance, and the bit behind it."""
+    count = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << count) + ahead(words, at, count)) + 1, at + count
+
+
 def green_symbols(bits: Bits, place: int, green: Code, distance: Code) -> tuple[np.ndarray, ...]:
     """The symbols from a bit on that begin in the next ``PART`` bytes, the lengths and distances of references, and the bits of each."""
     start = place >> 3
@@ -287,19 +335,11 @@ def green_symbols(bits: Bits, place: int, green: Code, distance: Code) -> tuple[
     index = (near & np.uint32((1 << green.longest) - 1)).astype(np.uint16).ravel()
     step = (green.array & 15).astype(np.uint8)[index].astype(np.int32)
 
-    def ahead(at: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return ((words[at >> 3] >> (at & 7).astype(np.uint64)) & ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-
-    def grown(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A length or distance, and the bit behind it."""
-        count = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-        return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << count) + ahead(at, count)) + 1, at + count
-
     symbols_of = green.array >> 4
     refers = np.flatnonzero(((symbols_of >= 256) & (symbols_of < 280))[index])
-    length, at = grown(symbols_of[index[refers]] - 256, refers + step[refers])
-    far = distance.array[ahead(at, np.full(len(at), distance.longest))]
-    far, at = grown(far >> 4, at + (far & 15))
+    length, at = grown(words, symbols_of[index[refers]] - 256, refers + step[refers])
+    far = distance.array[ahead(words, at, np.full(len(at), distance.longest))]
+    far, at = grown(words, far >> 4, at + (far & 15))
     step[refers] = at - refers
     # The walk takes 2 ** JUMPS symbols at a time; those between are looked up together.
     end = min(8 * size, bits.n - 8 * start)
@@ -322,6 +362,110 @@ def green_symbols(bits: Bits, place: int, green: Code, distance: Code) -> tuple[
     return found, length[which], far[which], step[path]
 
 
+class Joint:
+    """The symbols of many green images, read at the same time.
+
+    Their bits are dealt to lanes, which take a step at a time together. A lane starts a little before its
+    own bits, anywhere; prefix codes fall into step soon. It is right if its first symbol is where the lane
+    before it ends, and walked again from there if not. What is still apart then is left to ``read_green``.
+    """
+
+    def __init__(self, images: list[tuple]):
+        """``images``: (bits, number of pixels, green code, distance code)."""
+        readers, pixels, greens, distances = zip(*images)
+        raw = np.frombuffer(b"".join([b.data for b in readers]) + bytes(SLACK), dtype=np.uint8)
+        self.words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        self.near = np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,)).astype(np.int64)
+        self.table, self.base, self.mask = self.tables(greens)
+        self.far_table, self.far_base, self.far_mask = self.tables(distances)
+        symbol = self.table >> 4
+        self.hop = ((self.table & 15) | ((symbol >= 256) & (symbol < 280)) << 4).astype(np.uint8)
+        ends = np.cumsum([b.n for b in readers])
+        starts = ends - [b.n - b.at for b in readers]
+        at, whole = self.starts(starts, ends)
+        self.cut(at, starts, ends, np.array(pixels), whole)
+
+    @staticmethod
+    def tables(codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(c.array) for c in codes])
+        return np.concatenate([c.array for c in codes]), np.cumsum(sizes) - sizes, sizes - 1
+
+    def references(self, at: np.ndarray, entry: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths and distances of references that begin at some bits, and the bits behind them."""
+        length, at = grown(self.words, (entry >> 4) - 256, at + (entry & 15))
+        far = self.far_table[self.far_base[image] + ((self.words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & self.far_mask[image])]
+        far, at = grown(self.words, far >> 4, at + (far & 15))
+        return length, far, at
+
+    def walk(self, at: np.ndarray, image: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Where symbols begin, a column for each lane, with the first one not before its limit; the rest is far behind."""
+        lanes, live, rows = len(at), np.arange(len(at)), []
+        base, mask = self.base[image], self.mask[image]
+        while True:
+            row = np.full(lanes, BEHIND, dtype=np.int32)
+            row[live] = at
+            rows.append(row)
+            if len(rows) % 8 == 1:
+                kept = np.flatnonzero(at < limit)
+                if not len(kept):
+                    return np.array(rows)
+                if len(kept) < len(at):
+                    at, live, limit, image, base, mask = (x[kept] for x in (at, live, limit, image, base, mask))
+            place = ((self.near.take(at >> 3) >> (at & 7)) & mask) + base
+            hop = self.hop.take(place)
+            after = at + hop
+            refers = np.flatnonzero(hop > 15)
+            if len(refers):
+                after[refers] = self.references(at[refers], self.table[place[refers]], image[refers])[2]
+            at = after
+
+    def starts(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits at which symbols begin, and which images have all of theirs."""
+        many = np.maximum(1, -(-(ends - starts) // LANE))
+        image = np.repeat(np.arange(len(many)), many)
+        nth = np.arange(len(image)) - (np.cumsum(many) - many)[image]
+        begin = starts[image] + nth * LANE
+        limit = np.minimum(begin + LANE, ends[image])
+        entry, leave = np.empty_like(begin), np.empty_like(begin)
+        lanes, at, walks = np.arange(len(begin)), begin - np.where(nth > 0, LEAD, 0), []
+        low, high = begin.astype(np.int32), limit.astype(np.int32)
+        newest = np.zeros(len(begin), dtype=np.int64)
+        while True:
+            path = self.walk(at, image[lanes], limit[lanes])
+            for bound, first in ((low, entry), (high, leave)):
+                first[lanes] = path[(path < bound[lanes]).sum(axis=0), np.arange(len(lanes))]
+            newest[lanes] = len(walks)
+            walks.append((lanes, path))
+            lanes = 1 + np.flatnonzero((nth[1:] > 0) & (entry[1:] != leave[:-1]))
+            if not len(lanes) or len(walks) == ROUNDS:
+                break
+            at = leave[lanes - 1]
+        whole = np.ones(len(many), dtype=bool)
+        whole[image[lanes]] = False
+        found = [path[(path >= low[own]) & (path < np.where(newest[own] == k, high[own], 0))] for k, (own, path) in enumerate(walks)]
+        return np.sort(np.concatenate(found)).astype(np.int64), whole
+
+    def cut(self, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, pixels: np.ndarray, whole: np.ndarray) -> None:
+        """Symbols up to the number of pixels of each image."""
+        low, high = np.searchsorted(at, starts), np.searchsorted(at, ends)
+        image = np.repeat(np.arange(len(starts)), high - low)
+        entry = self.table[((self.near[at >> 3] >> (at & 7)) & self.mask[image]) + self.base[image]]
+        found, after, many = entry >> 4, at + (entry & 15), np.ones(len(at) + 1, dtype=np.int64)
+        refers = np.flatnonzero((found >= 256) & (found < 280))
+        length, far, after[refers] = self.references(at[refers], entry[refers], image[refers])
+        many[refers + 1] = length
+        many[0] = 0
+        sums = np.cumsum(many)
+        wanted = sums[low] + pixels
+        stop = np.searchsorted(sums, wanted)
+        self.parts: list[tuple | None] = [None] * len(starts)
+        whole &= (stop > low) & (stop <= high) & (sums[np.minimum(stop, len(at))] == wanted) & (np.append(0, after)[np.minimum(stop, len(at))] <= ends)
+        cuts = np.searchsorted(refers, np.stack([low, stop])).tolist()
+        for i in np.flatnonzero(whole).tolist():
+            own = slice(cuts[0][i], cuts[1][i])
+            self.parts[i] = found[low[i] : stop[i]], length[own], far[own]
+
+
 def read_symbols(bits: Bits, width: int, n: int, codes, cache: int, tile, step: int) -> np.ndarray:
     out = [0] * n
     colours = [0] * ((1 << cache) if cache else 0)
@@ -485,8 +629,8 @@ def palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The (height, width) pixels of a RIFF file with one VP8L chunk."""
+def opened(data: bytes) -> tuple[Bits, list[tuple], int, int]:
+    """What follows the transforms of a RIFF file with one VP8L chunk, the transforms, and the stored image's width and height."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise FormatError("not a lossless WebP file")
     bits = Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
@@ -510,7 +654,10 @@ def decode(data: bytes) -> np.ndarray:
             colours = channels(read_image(bits, n, 1, False)[0]).cumsum(axis=0, dtype=np.uint8)
             undo.append((kind, palette_bits(n), packed(colours), inner))
             inner = -(-inner >> palette_bits(n))
-    pixels = read_image(bits, inner, height, True)
+    return bits, undo, inner, height
+
+
+def undone(pixels: np.ndarray, undo: list[tuple]) -> np.ndarray:
     for kind, size, extra, wide in reversed(undo):
         if kind == PREDICTOR:
             pixels = predict(pixels, (extra >> 8) & 255, size, True)
@@ -526,6 +673,31 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
+def decode(data: bytes) -> np.ndarray:
+    """The (height, width) pixels of a RIFF file with one VP8L chunk."""
+    bits, undo, inner, height = opened(data)
+    return undone(read_image(bits, inner, height, True), undo)
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """:func:`decode` of each file; images whose green channel alone varies are read together."""
+    heads, images, total = {}, [], 0
+    for i, data in enumerate(files):
+        if len(data) <= min(ALONE, TOGETHER - total):
+            bits, undo, width, height = opened(data)
+            cache, codes, tile, _ = image_head(bits, width, height, True)
+            if only_green(codes, tile):
+                heads[i] = undo, width, height, codes[0], cache
+                images.append((bits, width * height, codes[0][0], codes[0][4]))
+                total += len(data)
+    out: list = [None] * len(files)
+    for (i, (undo, width, height, codes, cache)), part in zip(heads.items(), Joint(images).parts if images else []):
+        pixels = None if part is None else green_pixels(*part, width, codes, cache)
+        if pixels is not None:
+            out[i] = undone(pixels.reshape(height, width), undo)
+    return [decode(data) if pixels is None else pixels for data, pixels in zip(files, out)]
+
+
 class Writer:
     def __init__(self):
         self.value, self.n, self.parts = 0, 0, []
@@ -616,8 +788,10 @@ def put_code(w: Writer, symbols: list[int], lengths: list[int], size: int) -> li
         return [0]
     words, code, last = [0] * len(symbols), 0, 0
     for length, i in sorted(zip(lengths, range(len(symbols)))):
-        code <<= length - last
-        words[i], last = mirror(code, length), length
+        if length != last:
+            code <<= length - last
+            turned, last = turned_words(length), length
+        words[i] = turned[code]
         code += 1
     return words
 
@@ -779,15 +953,23 @@ def references(data: np.ndarray, row: np.ndarray, stop: np.ndarray) -> list[tupl
     n = len(data) - GRAM + 1
     if n <= 0:
         return []
-    words = np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    key = words & np.uint64((1 << 8 * GRAM) - 1) | row[:n].astype(np.uint64) << np.uint64(8 * GRAM)
     at = np.flatnonzero(np.arange(n) + GRAM <= stop[:n])
-    at = at[np.argsort(key[at], kind="stable")]
+    words = np.ndarray((n,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))[at] << np.uint64(64 - 8 * GRAM)
+    # By bytes and then place, which puts a row's equal ones side by side.
+    if len(at) <= 1 << (64 - 8 * GRAM):
+        words |= np.arange(len(at), dtype=np.uint64)
+        words.sort()
+        at = at[words & np.uint64((1 << (64 - 8 * GRAM)) - 1)]
+        words >>= np.uint64(64 - 8 * GRAM)
+    else:
+        order = np.argsort(words, kind="stable")
+        at, words = at[order], words[order]
+    same = np.flatnonzero(words[1:] == words[:-1])
+    same = same[row[at[same + 1]] == row[at[same]]]
     back = np.zeros(n, dtype=np.int64)
-    same = key[at[1:]] == key[at[:-1]]
-    back[at[1:][same]] = (at[1:] - at[:-1])[same]
+    back[at[same + 1]] = at[same + 1] - at[same]
     # Positions in a row with one distance make one long repeat.
-    first = np.flatnonzero(np.diff(back, prepend=0) != 0)
+    first = np.append(0, 1 + np.flatnonzero(back[1:] != back[:-1]))
     last = np.append(first[1:], n)
     live = (back[first] > 0) & (last - first + GRAM - 1 >= WORTH)
     out, free = [], 0
@@ -861,16 +1043,15 @@ class Tokens:
     """
 
     def __init__(self, green: np.ndarray, row: np.ndarray, kinds: np.ndarray, widths: list[int], stop: np.ndarray, seen: np.ndarray):
-        symbol = green.astype(np.int32)
         # Greys have a place each in the cache (PLACES), so a pixel is in it if it has been in its run before.
-        cached = np.flatnonzero((kinds >= 2)[row])
-        shade = row[cached] << 8 | green[cached]
-        first = np.zeros(len(seen), dtype=np.int64)
-        first[shade[::-1]] = cached[::-1]
+        shade = row << 8 | green
+        symbol = np.where(kinds[:, None] >= 2, 280 + PLACES[kinds & 1], np.arange(256)).astype(np.int32).ravel()[shade]
+        first = np.full(len(seen), -1, dtype=np.int64)
+        first[shade[::-1]] = np.arange(len(green))[::-1]
         first[seen] = -1
-        hit = cached[cached > first[shade]]
-        seen[shade] = True
-        symbol[hit] = 280 + PLACES[kinds[row[hit]] & 1, green[hit]]
+        first = first[first >= 0]
+        symbol[first] = green[first]
+        seen[shade[first]] = True
         repeats = np.array(references(green, row, np.where(kinds % 2 == 1, stop, 0)[row]), dtype=np.int64).reshape(-1, 3)
         start = repeats[:, 0]
         length, self.more, self.bits = prefixes(repeats[:, 1])
@@ -914,24 +1095,20 @@ def put_codes(w: Writer, kind: int, counts: np.ndarray, far_counts: np.ndarray,
         words_to[used], wide_to[used] = words, lengths
 
     fill(counts[: 280 if kind == 1 else GREENS], codes[0][i], codes[1][i])
-    for constant in (0, 0, 0 if kind == 2 else 255):
-        put_code(w, [constant], [1], 256)
+    w.put(5 | 5 << 11 | (5 | (0 if kind == 2 else 255) << 3) << 22, 33)  # three simple codes: red, blue, opacity
     fill(far_counts, codes[2][i], codes[3][i])
 
 
-def add_bits(buffer: np.ndarray, value: np.ndarray, n_bits: np.ndarray, begin: np.ndarray) -> None:
-    """Puts numbers into a buffer, each from a bit on; no two share a bit, so sums are unions."""
-    shift, first = (begin & 7).astype(np.uint64), begin >> 3
-    low, width_of = value << shift, n_bits + (begin & 7)
-    for k in range(9):
-        if k:
-            long = np.flatnonzero(width_of > 8 * k)
-            low, first, width_of, shift, value = low[long], first[long], width_of[long], shift[long], value[long]
-        part = (low >> np.uint64(8 * k)) & np.uint64(255) if k < 8 else value >> (np.uint64(64) - shift)
-        if len(part):
-            lowest = int(first[0]) + k
-            sums = np.bincount(first + (k - lowest), weights=part.astype(np.float64)).astype(np.uint8)
-            buffer[lowest : lowest + len(sums)] += sums
+def joined_bits(size: int, value: np.ndarray, n_bits: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``size`` bytes with numbers of at most 58 bits in them, each from a bit on; these grow, and no two numbers share a bit."""
+    out = np.zeros((size >> 3) + 2, dtype="<u8")
+    word, shift = begin >> 6, begin & 63
+    if len(word):
+        first = np.append(0, 1 + np.flatnonzero(word[1:] != word[:-1]))
+        out[word[first]] = np.bitwise_or.reduceat(value << shift.astype(np.uint64), first)
+    over = np.flatnonzero(shift + n_bits > 64)
+    out[word[over] + 1] |= value[over] >> (64 - shift[over]).astype(np.uint64)
+    return out.view(np.uint8)[:size]
 
 
 def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> list[bytes]:
@@ -964,8 +1141,7 @@ def encode_grey(data: np.ndarray, offsets: np.ndarray, widths: list[int]) -> lis
     bounds = ends[np.searchsorted(tokens.at, offsets)]
     base = np.concatenate([[0], np.cumsum((head_bits + np.diff(bounds) + 7) >> 3)])
     begin = (base[:-1] * 8 + head_bits - bounds[:-1])[tokens.row] + ends[:-1]
-    buffer = np.zeros(int(base[-1]) + 9, dtype=np.uint8)
-    add_bits(buffer, value, n_bits, begin)
+    buffer = joined_bits(int(base[-1]), value, n_bits, begin)
     for i in chosen:
         head = np.frombuffer(heads[i].bytes(), dtype=np.uint8)
         buffer[base[i] : base[i] + len(head)] += head
@@ -995,8 +1171,7 @@ def encode_long(payload: np.ndarray, width: int, kind: int) -> bytes:
     for tokens in pieces():
         value, n_bits = tokens.written(codes)
         ends = np.cumsum(n_bits)
-        buffer = np.zeros(((at & 7) + int(ends[-1]) + 7 >> 3) + 9, dtype=np.uint8)
-        add_bits(buffer, value, n_bits, (at & 7) + ends - n_bits)
+        buffer = joined_bits((at & 7) + int(ends[-1]) + 7 >> 3, value, n_bits, (at & 7) + ends - n_bits)
         if at & 7:
             buffer[0] += out.pop()
         at += int(ends[-1])

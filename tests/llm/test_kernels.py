@@ -197,6 +197,68 @@ def test_webp_green_walk_equals_reading_symbols(monkeypatch):
     assert all((webp.decode(f) == x).all() for f, x in zip(files, fast))
 
 
+#: As GREY, and codes of equal lengths, which never fall into step, and one text with many more places than a sort key has room for.
+JOINT = [np.frombuffer(g + bytes(-len(g) % 64), np.uint8) for g in (*GREY, *(np.random.default_rng(k).integers(0, 64, 4096, np.uint8).tobytes() for k in range(4)), b"".join(b"%d and %d; " % (i * i % 977, i) for i in range(9000)))]
+
+
+def joint_files():
+    return webp.encode_grey(np.concatenate(JOINT), np.concatenate([[0], np.cumsum([len(p) for p in JOINT])]), [64] * len(JOINT))
+
+
+@pytest.mark.parametrize("lane, lead, rounds", [(1024, 192, 4), (64, 0, 9), (100, 60, 1), (1 << 20, 0, 1)])
+def test_webp_files_are_read_together(monkeypatch, lane, lead, rounds):
+    for name, value in (("LANE", lane), ("LEAD", lead), ("ROUNDS", rounds)):
+        monkeypatch.setattr(webp, name, value)
+    walks, walk = [], webp.Joint.walk
+    monkeypatch.setattr(webp.Joint, "walk", lambda *a: walks.append(1) or walk(*a))
+    alone, read_green = [], webp.read_green
+    monkeypatch.setattr(webp, "read_green", lambda *a: alone.append(1) or read_green(*a))
+    files = joint_files() + [webp.encode(np.arange(12, dtype=np.uint32).reshape(3, 4) << np.uint32(20))]
+    got = webp.decode_all(files)
+    assert all((p.shape == q.shape) and (p == q).all() for p, q in zip(got, [*(webp.grey(p, 64) for p in JOINT), np.arange(12).reshape(3, 4) << 20]))
+    assert len(walks) <= rounds and (lane < 1 << 10 or len(alone) < len(files) / 2)
+
+
+def test_webp_files_beyond_a_group_are_read_alone(monkeypatch):
+    files, alone, read_green = joint_files(), [], webp.read_green
+    monkeypatch.setattr(webp, "read_green", lambda *a: alone.append(1) or read_green(*a))
+    monkeypatch.setattr(webp, "TOGETHER", sum(map(len, files[:6])))
+    assert all((p == webp.grey(q, 64)).all() for p, q in zip(webp.decode_all(files), JOINT)) and len(alone) > 5
+
+
+def test_webp_bad_bytes_among_others():
+    files = joint_files()
+    green = next(k for k, p in enumerate(JOINT) if webp.kind_of(p) == 1)
+    for bad in (b"", files[green][:-20], files[green][:30]):
+        with pytest.raises(webp.FormatError):
+            webp.decode_all([*files[:green], bad, *files[green + 1 :]])
+    assert webp.decode_all([]) == []
+
+
+def test_webp_long_runs_have_the_references_of_short_ones():
+    for p, file in zip(JOINT, joint_files()):
+        assert file == webp.encode_grey(p, np.array([0, len(p)]), [64])[0]
+    for data, row, stop in ((JOINT[-1], 0, len(JOINT[-1])), (np.concatenate([JOINT[2]] * 2), np.arange(2 * len(JOINT[2])) // len(JOINT[2]), (np.arange(2 * len(JOINT[2])) // len(JOINT[2]) + 1) * len(JOINT[2]))):
+        row, stop = (np.broadcast_to(x, data.shape) for x in (row, stop))
+        raw, back, last = data.tobytes(), [0] * len(data), {}
+        for i in range(len(raw) - webp.GRAM + 1):
+            key = int(row[i]), raw[i : i + webp.GRAM]
+            if i + webp.GRAM <= stop[i]:
+                back[i], last[key] = i - last.get(key, i), i
+        found = webp.references(data, row, stop)
+        assert found and all(back[i] == far and raw[i : i + n] == raw[i - far : i - far + n] and row[i - far] == row[i + n - 1] for i, n, far in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_joined_bits(seed):
+    rng = np.random.default_rng(seed)
+    n_bits = rng.choice([0, 1, 5, 12, 58], 500)
+    value = rng.integers(0, 1 << 62, 500).astype(np.uint64) >> (62 - n_bits).astype(np.uint64)
+    begin = np.cumsum(n_bits + rng.integers(0, 90, 500) * (seed == 2)) - n_bits + seed
+    size = int(begin[-1] + n_bits[-1] + 7) >> 3
+    assert webp.joined_bits(size, value, n_bits, begin).tobytes() == sum(v << b for v, b in zip(value.tolist(), begin.tolist())).to_bytes(size, "little")
+
+
 def test_webp_bad_bytes():
     data = webp.encode(np.random.default_rng(8).integers(0, 1 << 32, (5, 16)).astype(np.uint32))
     green = webp.encode_grey(np.frombuffer(GREY[2] + bytes(-len(GREY[2]) % 64), np.uint8), np.array([0, 4032]), [64])[0]

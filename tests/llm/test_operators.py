@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,19 @@ def test_media_values(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_media_files_are_read_in_groups(monkeypatch):
+    """A batch of short files takes a few joint walks, not one for each file."""
+    texts = [f"text {k} of many, with some words and {k * k} more " * 9 for k in range(300)] + [None, ""]
+    files = pa.Table.from_batches(media.write_media([pa.RecordBatch.from_pydict({"doc_id": list(range(302)), "text": texts})])).combine_chunks().to_batches()
+    walks, read = [], webp.green_symbols
+    monkeypatch.setattr(webp, "green_symbols", lambda *a: walks.append(1) or read(*a))
+    rows = [r for b in media.read_features(files) for r in b.to_pylist()]
+    assert len(walks) < 30
+    for text, r in zip(texts, rows):
+        raw = (text or "").encode()
+        assert r["payload_sha256"] == hashlib.sha256(raw + bytes(-len(raw) % 64 or (0 if raw else 64))).hexdigest()
+
+
 def test_media_files_hold_every_feature(spark, sf):
     """The query's own files, read again: digests, sizes, and that each part of the format occurs in them."""
     documents = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(-1, "ab" * 500, None, None, 0), (-2, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
