@@ -25,7 +25,7 @@ from flatspark.operators.validate import diagnostics, rejects, validate, values_
 from flatspark.plans.conversion import convert_distributed
 from flatspark.plans.layout import EXAMPLES, LIBRARY, Layout, build_layout, load_layout
 from flatspark.plans.registry import registry
-from flatspark.sinks.text import singer_records, sql_inserts, write_distributed, write_single
+from flatspark.sinks.text import join_parts, singer_records, sql_inserts, write_distributed, write_single
 from flatspark.sources.flat import read_flat, scan
 from flatspark.sources.framed import scan_frames
 from flatspark.sources.lines import from_frame, scan_lines, shared_folder
@@ -325,12 +325,13 @@ def detect_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_header(spark: SparkSession, sf_dir: str, delimiter: str) -> str:
-    """Orders in one delimited file under a header."""
+    """Orders in one delimited file under a header; all tasks write it, and their parts are then joined."""
     path = folder(spark)
     names = spark.range(1).select(F.lit(delimiter.join(["id", "date", "amount", "status"])).alias("value"))
     rows = delimited_records(spark, sf_dir, delimiter).select(F.rtrim(F.col("record").cast("string"), F.lit("\t")).alias("value"))
-    names.unionAll(rows).coalesce(1).write.text(path)
-    return path
+    names.unionAll(rows).write.text(f"{path}/parts")
+    join_parts(spark, f"{path}/parts", f"{path}/orders.txt")
+    return f"{path}/orders.txt"
 
 
 def _inferred(name: str, sample: int | None) -> None:

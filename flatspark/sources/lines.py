@@ -21,7 +21,7 @@ RECORD_FRAME = "source string, line bigint, record binary"
 
 def trimmed(raw):
     """Without the carriage returns at its end."""
-    return F.encode(F.rtrim(F.decode(raw, "ISO-8859-1"), F.lit("\r")), "ISO-8859-1")
+    return F.when(F.endswith(raw, F.lit(b"\r")), F.encode(F.rtrim(F.decode(raw, "ISO-8859-1"), F.lit("\r")), "ISO-8859-1")).otherwise(raw)
 
 
 def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -71,6 +71,12 @@ def scan_lines(spark: SparkSession, path: str | list[str], skip_first: bool = Fa
     return (lines.where(F.col("line") > F.col("header")) if skip_first else lines).drop("header")
 
 
+def scan_unnumbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Non-blank lines in one pass, with the ``block`` (start of the split) and a number ``n`` that only orders the lines of a split."""
+    raw = _cut_now(_raw(spark, path)).select("source", "block", F.col("id").alias("n"), trimmed(F.col("raw")).alias("record"))
+    return raw.where(F.length("record") > 0)
+
+
 def from_frame(df: DataFrame, record: str, line: str, source: str = "memory") -> DataFrame:
     """A record frame of rows that are in memory or in a table."""
     return df.select(F.lit(source).alias("source"), F.col(line).cast("bigint").alias("line"), F.col(record).cast("binary").alias("record"))

@@ -415,3 +415,39 @@ def test_standard_output(spark, ar_file, tmp_path):
     out = io.StringIO()
     done = convert(spark, ar_file, load_layout(AR), "ndjson", "-", stdout=out)
     assert len(out.getvalue().splitlines()) == 2 == done.report.errors
+
+
+def test_whole_file_inference_takes_two_passes(spark, tmp_path):
+    """Each line of a whole file is read twice, however many splits the file has."""
+    (tmp_path / "whole").write_text("id,day,amount\n" + "".join(f"{i},202501{i % 28 + 1:02d},{i}.5\n" for i in range(20_000)) + "7,20250101,1.125\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.sparkContext.setJobGroup("whole", "whole")
+    try:
+        splits = spark.read.text(str(tmp_path / "whole")).rdd.getNumPartitions()
+        got = infer_layout(spark, str(tmp_path / "whole"), sample_lines=None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.sparkContext.setJobGroup("", "")
+    assert [(f["name"], f["type"], f.get("scale")) for f in got["fields"]] == [("id", "decimal", 0), ("day", "date", None), ("amount", "decimal", 3)]
+    seen = spark.sparkContext.statusTracker()
+    stages = {i for job in seen.getJobIdsForGroup("whole") for i in seen.getJobInfo(job).stageIds}
+    assert splits > 8 and [n for i in stages if (n := seen.getStageInfo(i).numCompletedTasks) >= splits] == [splits] * 2
+
+
+def test_inference_over_files(spark, tmp_path):
+    """Each file's first filled line may be its header, whatever lines are blank before it."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a").write_text("k;v\n1;x\n")
+    (tmp_path / "d" / "b").write_text(" \n\nk;v\n2.25;\n" + "3;y\n" * 50)
+    got = infer_layout(spark, str(tmp_path / "d"), sample_lines=None)
+    assert got["has_header"] and [(f["name"], f["type"], f.get("scale")) for f in got["fields"]] == [("k", "decimal", 2), ("v", "string", None)]
+
+
+@pytest.mark.parametrize(
+    "cell,kind,scale",
+    [("i_nf", "decimal", 0), ("_1", "decimal", 0), (" 1.50-", "decimal", 2), ("+.5e1", "decimal", 3), ("\u20031\u2003", "decimal", 0), ("snan12", "decimal", 0), ("1-5", "string", None), ("--", "string", None), ("20250229", "decimal", 0), ("00000101", "decimal", 0), ("2024022\u0669", "string", None), (" 20240229", "decimal", 0), ("20240229", "date", None), ("\x7f1", "string", None), ("\x85", "string", None)],
+)
+def test_inferred_cells(spark, cell, kind, scale):
+    got = infer_frame(spark.createDataFrame([(0, "a|b"), (1, f"x|{cell}"), (2, "y|")], "n bigint, text string"), "f")
+    assert (got["has_header"], got["fields"][1]["type"], got["fields"][1].get("scale")) == (True, kind, scale)

@@ -40,3 +40,18 @@ def test_every_catalogue_query_has_sql():
 def test_hot_path_has_no_python(spark, sf):
     plan = catalogue.parse_orders_fixed(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_file_under_header_is_written_by_many_tasks(spark, sf):
+    """One file, its header first, with all rows, though no task has all of them to write."""
+    spark.sparkContext.setJobGroup("written", "written")
+    try:
+        path = catalogue.with_header(spark, sf, ";")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    seen = spark.sparkContext.statusTracker()
+    assert max(seen.getStageInfo(i).numTasks for job in seen.getJobIdsForGroup("written") for i in seen.getJobInfo(job).stageIds) > 1
+    with open(path.removeprefix("file:")) as f:
+        lines = f.read().split("\n")
+    keys = [r.o_orderkey for r in catalogue.table(spark, sf, "orders").select("o_orderkey").collect()]
+    assert lines[0] == "id;date;amount;status" and [r.split(";")[0] for r in lines[1:]] == [*map(str, keys), ""]
