@@ -12,8 +12,10 @@ import json
 import re
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -336,10 +338,17 @@ def with_header(spark: SparkSession, sf_dir: str, delimiter: str) -> str:
 
 def _inferred(name: str, sample: int | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = []
-        for d in DELIMITERS:
-            found = infer_layout(spark, with_header(spark, sf_dir, d), sample_lines=sample)
-            rows += [(found["delimiter"], found["has_header"], f["name"], f["type"], f.get("scale")) for f in found["fields"]]
+        shared_folder(spark)  # set before threads ask for it
+        layouts = {}
+
+        def one(d: str) -> None:
+            layouts[d] = infer_layout(spark, with_header(spark, sf_dir, d), sample_lines=sample)
+
+        # Side by side, so that the last tasks of one file do not leave cores idle.
+        with ThreadPoolExecutor(len(DELIMITERS)) as pool:
+            for done in [pool.submit(inheritable_thread_target(spark)(partial(one, d))) for d in DELIMITERS]:
+                done.result()
+        rows = [(layouts[d]["delimiter"], layouts[d]["has_header"], f["name"], f["type"], f.get("scale")) for d in DELIMITERS for f in layouts[d]["fields"]]
         return spark.createDataFrame(rows, "delimiter string, has_header boolean, name string, type string, scale int")
 
     QUERIES[name] = run
